@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_code(spark)
     return spark
 
 
@@ -32,6 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package.
+
+    On one machine they get its folder; to other machines a zip of it is sent once.
+    """
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, paths)])
+        if not context.master.startswith("local"):
+            made = shutil.make_archive(f"{tempfile.mkdtemp()}/weftline", "zip", root, "weftline")
+            context.addPyFile(made)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the session's shared folder.
 
