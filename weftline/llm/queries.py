@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import duplicates, mixing, tokens
+from weftline.llm import duplicates, mixing, names, tokens
 from weftline.session import table
 
 
@@ -25,6 +25,22 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(_map_records(spark, sf_dir)).select(F.col("kind").alias("row_kind"), F.col("head").alias("first_id"), "n_copies")
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    person = lambda t: table(spark, sf_dir, t).select(F.lit("customer").alias("kind"), F.col("customer_id").alias("id"), F.col("full_name").alias("name"))
+    suppliers = table(spark, sf_dir, "suppliers").select(F.lit("supplier").alias("kind"), F.col("supplier_id").alias("id"), F.col("supplier_name").alias("name"))
+    return names.link_names(person("crm_customers").union(person("raw_customers")).union(suppliers))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that name the same person or organisation."""
+    return names.same_entity_pairs(_linked(spark, sf_dir)).select(F.col("kind").alias("name_kind"), "id_a", "id_b")
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every row that names somebody."""
+    return _linked(spark, sf_dir).select(F.col("kind").alias("name_kind"), "id", F.col("entity").alias("entity_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
@@ -48,6 +64,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
