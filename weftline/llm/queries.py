@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import duplicates, mixing, names, tokens
+from weftline.llm import abuse, duplicates, mixing, names, tokens
 from weftline.session import table
 
 
@@ -61,6 +61,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_label"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _scored(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, to be reviewed in order."""
+    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"), "flagged")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of such documents by source."""
+    return abuse.rates(_scored(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -69,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 _KEY = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
