@@ -53,7 +53,10 @@ if __name__ == "__main__":
     for name in sys.argv[2:] or known:
         began = time.time()
         if name in oracle:
-            good, said = compare(spark, sf_dir, known[name], oracle[name])
+            try:
+                good, said = compare(spark, sf_dir, known[name], oracle[name])
+            except Exception as e:  # noqa: BLE001
+                good, said = False, str(e)[:400]
             print(f"{'ok  ' if good else 'DIFF'} {name} {time.time() - began:.1f} s {said}", flush=True)
         else:
             print(f"rows {name} {known[name](spark, sf_dir).count()} in {time.time() - began:.1f} s", flush=True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftline import problems
+from weftline import lineage_queries, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
-FLAGSHIP = problems.QUERIES["p5_found"]
+QUERIES = {**lineage_queries.QUERIES, **problems.QUERIES}
+ORACLE = {**lineage_queries.ORACLE, **problems.ORACLE}
+FLAGSHIP = lineage_queries.QUERIES["trace_downstream"]
