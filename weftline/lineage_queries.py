@@ -138,7 +138,7 @@ QUERIES: dict[str, Query] = {
     "table_mappings": _on(lambda m: Q.table_mappings(m, "t9")),
     "column_sources": _on(lambda m: Q.column_ends(m, "t17", "source")),
     "column_targets": _on(lambda m: Q.column_ends(m, "t9", "target")),
-    "question_answer": _on(lambda m: Q.answer(m, "What does load to t12?")),
+    "question_answer": _on(lambda m: Q.answer(m, "load to t12")),
     "rename_edges": _on(_renames),
     "impact_drop_column": _on(lambda m: L.impact(m, "drop_column", "L2.t18", "c1")),
     "impact_rename_column": _on(lambda m: L.impact(m, "rename_column", "t20", "c2", "c2_new")),
