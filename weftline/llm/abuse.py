@@ -26,7 +26,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -75,26 +76,47 @@ MASKS = "#*"
 # Letters of other alphabets that look like Latin ones.
 LOOK = dict(zip("авекмнорстухіјѕԁһԛԝɡɑαβεηικνορτυχѵ", "abekmhopctyxijsdhqwgaabenikvoptuxv", strict=True))
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"))
-_FOLD = HIDDEN | {ord(a): b for a, b in LOOK.items()} | {ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l", ord("æ"): "ae", ord("œ"): "oe", ord("ı"): "i"} | dict.fromkeys(range(0x300, 0x370))
-
-_MARK = r"[0-9@$!+|€£#*]"
-#: Words that may be disguised, in lower case text.
-SUSPECT = re.compile(
-    r"(?<![a-z])[a-z](?:([ .\-_*~])[a-z]){2,}(?![a-z])"  # letters one by one
-    r"|[a-z]*\{\\(?:it|bf|em|tt|sl|sc|rm)\s+[a-z]+\}[a-z]+|[a-z]+\{\\(?:it|bf|em|tt|sl|sc|rm)\s+[a-z]+\}"
-    r"|[a-z]*\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox)\{[a-z]+\}[a-z]+|[a-z]+\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox)\{[a-z]+\}"
-    r"|[a-z]+(?:\{\}|\\-|\\/)[a-z]+(?:(?:\{\}|\\-|\\/)[a-z]+)*"  # cut by empty groups and break points
-    rf"|(?<![\w\\{{}}$^=/:@]){_MARK}?[a-z]*(?:{_MARK}{{1,6}}[a-z]+)+(?![\w@])"  # digits and signs
-    r"|[a-z]*([a-z])\2{2,}[a-z]*"  # repeated letters
-)
-#: Words, and what ends a sentence: its signs, blank lines, arguments, commands that set text apart.
-TOKEN = re.compile(r"[a-z]+|[.!?]+(?=\s)|\n\s*\n|\}\{|\}\s*\n|\n\s*\\[a-z]+|\\(?:footnote|begin|end|item|section|todo)\b")
+_SWAP = str.maketrans(HIDDEN | {ord(a): b for a, b in LOOK.items()} | {ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l", ord("æ"): "ae", ord("œ"): "oe", ord("ı"): "i"})
+_ODD = re.compile("[" + "".join(map(chr, _SWAP)) + "]")
+_MARKS, _OTHER = re.compile("[̀-ͯ]+"), re.compile("[^\x00-\x7f]+")
+
+_FORMAT = r"\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox)\{([a-z]+)\}"
+#: Formatting of a part of a word, which is taken away so that the word is whole again.
+GROUP, COMMAND = re.compile(r"\{\\(?:it|bf|em|tt|sl|sc|rm)\s+([a-z]+)\}"), re.compile(_FORMAT)
+#: Letters one by one.
+SPREAD = re.compile(r"(?<![a-z])[a-z](?:([ .\-_~])[a-z]){2,}(?![a-z])")
+_SIGN = "0-9@$+|€£#*"
+#: Words, with the digits and signs that may stand for letters, and what ends a sentence: its signs,
+#: blank lines, arguments, commands that set text apart.
+TOKEN = re.compile(rf"[a-z{_SIGN}]+(?:!+[a-z{_SIGN}]+)*|[.!?]+(?=\s)|\n\s*\n|\}}\{{|\}}\s*\n|\n\s*\\[a-z]+|\\(?:footnote|begin|end|item|section|todo)\b")
+ENDS = set(".!?\n}\\")
+#: Numbers of four digits are years or the like and stand for no letters.
+DISGUISED = re.compile(rf"(?!.*\d{{4}})[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)+")
+RUN = re.compile(r"([a-z])\1\1")
 
 
 def fold(text: str) -> str:
     """text in lower case, without accents and hidden characters, look-alike letters as Latin ones."""
     low = text.lower()
-    return low if low.isascii() else unicodedata.normalize("NFKD", low).translate(_FOLD)
+    if low.isascii():
+        return low
+    if _ODD.search(low):
+        low = low.translate(_SWAP)
+    return _OTHER.sub(" ", _MARKS.sub("", unicodedata.normalize("NFKD", low)))
+
+
+class _Resolved(dict):
+    """The words that tokens stand for; new tokens are looked into."""
+
+    def __init__(self, look: Callable[[str], str]) -> None:
+        super().__init__()
+        self.look = look
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= 300_000:
+            self.clear()
+        got = self[token] = self.look(token)
+        return got
 
 
 class Restorer:
@@ -111,10 +133,17 @@ class Restorer:
         mixed = (1 - SHARE) * grams + SHARE * own / own.sum()
         self.log = np.log(mixed / mixed.sum(axis=2, keepdims=True)).tolist()
         self.seeds = list(seeds)
-        self.words = {w for w in seeds if len(w) >= 4}
-        swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :]: w for w in self.words for k in range(len(w) - 1)}
+        long = {w for w in seeds if len(w) >= 4}
+        swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :]: w for w in long for k in range(len(w) - 1)}
         self.swapped = {s: w for s, w in swaps.items() if s not in seeds}
-        self.kept: dict[str, str] = {}
+        self.known = _Resolved(self.resolve)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.known = _Resolved(self.resolve)
 
     def listed(self, word: str) -> list[str]:
         """Words of the seed list that a word with digits, signs or masks may stand for."""
@@ -165,21 +194,30 @@ class Restorer:
         ends = [(score + self.log[a][b][0], made) for (a, b), (score, made) in best[-1].items()]
         return max(ends)[1]
 
-    def __call__(self, found: re.Match[str]) -> str:
-        raw = found[0]
-        got = self.kept.get(raw)
-        if got is None:
-            inner = re.sub(r"\{?\\(?:it|bf|em|tt|sl|sc|rm|textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox|-|/)\s*|[{}]", "", raw)
-            listed = self.listed(inner)
-            got = max(listed, key=self.likelihood) if listed else self.decode(inner[:200]) + inner[200:]
-            if len(self.kept) >= 50_000:
-                self.kept.clear()
-            self.kept[raw] = got
-        return got
-
-    def restored(self, text: str) -> str:
-        """text as it is scored."""
-        return SUSPECT.sub(self, fold(text))
+    def resolve(self, token: str) -> str:
+        """The word that a token stands for: restored, '' if it is none, '.' where a sentence ends."""
+        if token[0] in ENDS and not token.lstrip("!").isalnum():
+            return "."
+        if token.isalpha():
+            word = self.decode(token) if len(token) <= 200 and RUN.search(token) else token
+            return self.swapped.get(word, word)
+        core = token.strip("0123456789@$+|€£#*!")
+        letters = re.sub("[*+|#!]", "", token)
+        if len(core) > 3 and core.isalpha() and len(core) >= len(token) - 1 and token[0] not in LEET:
+            return self.resolve(core)
+        if len(letters) > 2 and letters.isalpha() and len(token) == 2 * len(letters) - 1:  # letters one by one
+            return letters
+        if 3 <= len(token) <= 60 and DISGUISED.fullmatch(token) and sum(c.isalpha() for c in token) >= 2:
+            listed = self.listed(token)
+            return max(listed, key=self.likelihood) if listed else self.decode(token)
+        return core if core.isalpha() else ""
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text as it is scored, with '.' where sentences end and '' for other signs."""
+        plain = fold(text).replace("{}", "").replace("\\-", "").replace("\\/", "")
+        plain = COMMAND.sub(r"\1", GROUP.sub(r"\1", plain))
+        plain = SPREAD.sub(lambda m: m[0].replace(m[1], ""), plain)
+        return list(map(self.known.__getitem__, TOKEN.findall(plain)))
 
 
 class Model:
@@ -189,9 +227,7 @@ class Model:
         self.restorer, self.bias = restorer, bias
         names = sorted({*single, *(w for pair in double for w in pair)})
         self.number = {w: n for n, w in enumerate(names, 1)}
-        for s, w in restorer.swapped.items():
-            if w in self.number and s not in self.number:
-                self.number[s] = self.number[w]
+        self.number["."] = -1
         self.size = len(names) + 1
         self.single = np.zeros(self.size)
         for w, v in single.items():
@@ -202,11 +238,10 @@ class Model:
 
     def sentences(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The tokens of the restored text, where sentences begin, and the scores of these."""
-        tokens = TOKEN.findall(self.restorer.restored(text))
+        tokens = self.restorer.words(text)
         if not tokens:
             return tokens, np.zeros(1, np.int64), np.zeros(1)
-        get = self.number.get
-        numbers = np.fromiter((get(t, 0) if "a" <= t[0] <= "z" else -1 for t in tokens), np.int64, len(tokens))
+        numbers = np.array([*map(self.number.get, tokens, repeat(0))], np.int64)
         gains = np.where(numbers > 0, self.single[np.maximum(numbers, 0)], 0.0)
         if len(numbers) > 1:
             a, b = numbers[:-1], numbers[1:]
@@ -239,8 +274,7 @@ class Model:
         order = np.argsort(-scores, kind="stable")
         rest = np.sort(order[n:])
         order = [*order[:n], *rest[:: max(1, len(rest) // others)][:others]] if others else order[:n]
-        swapped = self.restorer.swapped
-        return [" ".join(swapped.get(t, t) for t in tokens[starts[k] : ends[k]] if "a" <= t[0] <= "z") for k in order]
+        return [" ".join(t for t in tokens[starts[k] : ends[k]] if len(t) > 1 or t.isalpha()) for k in order]
 
 
 def _features(sentence: str) -> list[tuple[str, str | None]]:
@@ -330,10 +364,9 @@ def _evidence(labelled: DataFrame, restorer: Restorer) -> DataFrame:
         for frame in frames:
             out = []
             for text, bad in zip(frame["text"], frame["bad"], strict=True):
-                swapped = shared.value.swapped
-                tokens = [swapped.get(t, t) for t in TOKEN.findall(shared.value.restored(text))]
-                found = {(t, None) for t in tokens if "a" <= t[0] <= "z" and len(t) > 1}
-                found |= {(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if "a" <= a[0] <= "z" and "a" <= b[0] <= "z"}
+                tokens = shared.value.words(text)
+                found = {(t, None) for t in tokens if len(t) > 1}
+                found |= {(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a > "." and b > "."}
                 out += [(a, b, bad, 1 - bad) for a, b in found]
             yield pd.DataFrame(out, columns=["a", "b", "bad", "good"])
 
