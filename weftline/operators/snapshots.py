@@ -32,11 +32,13 @@ def snapshot_changes(
     """
     day = F.col(snapshot).cast("date")
     known = [r[0] for r in rows.select(day.alias("d")).where("d is not null").distinct().orderBy("d").collect()]
-    side = F.create_map(*[x for n, d in enumerate(known) for x in (F.lit(d), F.lit(n))]) if known else None
+    if len(known) < 2:
+        return rows.limit(0).select(day.alias(snapshot), *[c.alias(k) for k, c in keys.items()], F.lit("").alias("change_kind"))
+    side = F.create_map(*[x for n, d in enumerate(known) for x in (F.lit(d), F.lit(n))])
     digest = F.xxhash64(*[p for v in values.values() for p in (v.isNull(), v)])
     tagged = rows.where(day.isNotNull()).select(
         *[c.alias(f"key_{k}") for k, c in keys.items()],
-        (F.element_at(side, day) if known else F.lit(0)).alias("side"),
+        F.element_at(side, day).alias("side"),
         F.struct(*[F.col(c) for c in latest], digest.alias("digest")).alias("entry"),
     )
     grouped = tagged.groupBy(*[f"key_{k}" for k in keys]).agg(
@@ -51,13 +53,8 @@ def snapshot_changes(
             .when(old["digest"] != new["digest"], "changed")
         )
         steps.append(F.struct(F.lit(known[n]).cast("date").alias("day"), kind.alias("kind")))
-    if not steps:
-        empty = F.array().cast("array<struct<day:date,kind:string>>")
-        grouped = grouped.limit(0).withColumn("steps", empty)
-    else:
-        grouped = grouped.withColumn("steps", F.array(*steps))
     return (
-        grouped.select(*[F.col(f"key_{k}").alias(k) for k in keys], F.explode("steps").alias("step"))
+        grouped.select(*[F.col(f"key_{k}").alias(k) for k in keys], F.explode(F.array(*steps)).alias("step"))
         .where(F.col("step.kind").isNotNull())
         .select(F.col("step.day").alias(snapshot), *keys, F.col("step.kind").alias("change_kind"))
     )
