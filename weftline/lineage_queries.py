@@ -11,7 +11,7 @@ from weftline.functions import etl
 from weftline.operators import lineage as L
 from weftline.operators import questions as Q
 from weftline.operators import schedule as S
-from weftline.session import table
+from weftline.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED_TABLE, SEED_COLUMN, LATE_TABLE = "L0.t3", "c1", "L6.t50"
@@ -46,6 +46,11 @@ def _diff(maps: DataFrame) -> DataFrame:
     return L.graph_diff(maps.where("package_id <> 'pkg_3'"), maps.where("package_id <> 'pkg_5'"))
 
 
+def _bridges(maps: DataFrame) -> DataFrame:
+    pairs = checkpointed(L.column_pairs(maps))
+    return L.bridges(L.column_edges(pairs), L.registry(pairs))
+
+
 def _spec(spark: SparkSession) -> DataFrame:
     rows = [("L1.t8", "c0", True), ("L1.t8", "c9", True), ("L2.t17", "c1", False), ("L9.t99", "c0", True), ("L3.t25", "c0", True), ("L3.t25", "c8", False)]
     return spark.createDataFrame(rows, "table_name string, column_name string, required boolean")
@@ -122,7 +127,7 @@ QUERIES: dict[str, Query] = {
     "trace_downstream": _on(lambda m: L.trace(m, SEED_TABLE, SEED_COLUMN, "down")),
     "trace_upstream": _on(lambda m: L.trace(m, LATE_TABLE, "c2", "up")),
     "trace_table_downstream": _on(lambda m: L.trace(m, SEED_TABLE, None, "down").drop("step_rank")),
-    "trace_wildcard_bridge": _on(lambda m: L.bridges(L.column_edges(m), L.registry(m))),
+    "trace_wildcard_bridge": _on(_bridges),
     "search_tables": _on(lambda m: L.search(m, "t1", "table")),
     "search_columns": _on(lambda m: L.search(m, "t2", "column")),
     "mapping_steps": _on(lambda m: L.mapping_steps(m).groupBy("source_schema", "source_table", "step_number").agg(F.count("*").alias("n"))),

@@ -77,18 +77,26 @@ def keyed(maps: DataFrame) -> DataFrame:
     )
 
 
-def column_edges(maps: DataFrame) -> DataFrame:
-    """Distinct edges between columns; rows with an empty column or equal ends are no edges."""
-    return (
-        keyed(maps).select("source_node", "source_key", "target_node", "target_key").distinct()
-        .where("source_key <> '' and target_key <> '' and not (source_node = target_node and source_key = target_key)")
-    )
+def _ends(maps: DataFrame, *parts: str) -> DataFrame:
+    """The distinct ends of maps as they are written, so that keys are made of few rows."""
+    own = [f"{s}_{p}" for s in ("source", "target") for p in ("schema", "table", "component_id", "component_name", *parts) if f"{s}_{p}" in maps.columns]
+    rest = [f"{s}_column" for s in ("source", "target") if f"{s}_column" not in own]
+    return maps.select(*own).distinct().withColumns({c: F.lit("") for c in rest})
+
+
+def column_pairs(maps: DataFrame) -> DataFrame:
+    """Distinct (source_node, source_key, target_node, target_key): all that graphs need of maps."""
+    return keyed(_ends(maps, "column")).select("source_node", "source_key", "target_node", "target_key").distinct()
 
 
-def registry(maps: DataFrame) -> DataFrame:
+def column_edges(pairs: DataFrame) -> DataFrame:
+    """Edges between columns; pairs with an empty column or equal ends are no edges."""
+    return pairs.where("source_key <> '' and target_key <> '' and not (source_node = target_node and source_key = target_key)")
+
+
+def registry(pairs: DataFrame) -> DataFrame:
     """(node, key) of every column that a map names."""
-    both = keyed(maps)
-    return both.select(F.col("source_node").alias("node"), F.col("source_key").alias("key")).union(both.select("target_node", "target_key")).where("key <> ''").distinct()
+    return pairs.select(F.col("source_node").alias("node"), F.col("source_key").alias("key")).union(pairs.select("target_node", "target_key")).where("key <> ''").distinct()
 
 
 def bridges(edges: DataFrame, known: DataFrame, down: bool = True) -> DataFrame:
@@ -108,22 +116,49 @@ def bridges(edges: DataFrame, known: DataFrame, down: bool = True) -> DataFrame:
     ).select("source_node", "source_key", "target_node", "target_key")
 
 
+#: Rounds of a fixpoint between two checkpoints: they run as one job.
+UNROLLED = 4
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The ids that seeds (id) reach over edges (src, dst), the seeds among them.
 
-    Each round only carries on from ids that are new. Loops in the graph end it, as nothing on them
-    is new twice.
+    Each round only carries on from ids that were new in the one before, and keeps for each id the
+    round in which it was first reached. Loops end it, as nothing on them is new twice.
     """
     pairs = checkpointed(edges.select("src", "dst").distinct())
-    state = checkpointed(seeds.select("id").distinct().withColumn("round", F.lit(0)))
-    turn = 0
+    state, turn = checkpointed(seeds.select("id").distinct().withColumn("round", F.lit(0))), 0
     while True:
-        reached = state.where(F.col("round") == turn).join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        turn += 1
-        grown = checkpointed(state.union(reached.join(state.select("id"), "id", "left_anti").withColumn("round", F.lit(turn))))
-        if not grown.where(F.col("round") == turn).take(1):
+        for _ in range(UNROLLED):
+            onward = state.join(pairs, (F.col("id") == F.col("src")) & (F.col("round") == turn), "left")
+            turn += 1
+            step = F.array_compact(F.array(F.struct("id", "round"), F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("id"), F.lit(turn).alias("round")))))
+            state = onward.select(F.inline(step)).groupBy("id").agg(F.min("round").alias("round"))
+        state = checkpointed(state)
+        if not state.where(F.col("round") == turn).take(1):
             return state.select("id")
-        state = grown
+
+
+def relaxed(state: DataFrame, edges: DataFrame, value: str, step: Column, limit: int) -> DataFrame:
+    """state (id, columns, value) with value raised to the greatest over paths of edges (src, dst).
+
+    step gives, from the row of an edge's source, the value that it offers to its end; a greater
+    value is taken over. Stops when nothing rises, and after limit rounds, which only loops reach.
+    """
+    rest = [c for c in state.columns if c not in ("id", value)]
+    done = 0
+    while done < limit:
+        before = state
+        for _ in range(min(UNROLLED, limit - done)):
+            offers = state.join(edges, F.col("id") == F.col("src"), "left")
+            own = F.struct("id", *rest, F.col(value))
+            given = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("id"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in rest], step.cast(state.schema[value].dataType).alias(value)))
+            state = offers.select(F.inline(F.array_compact(F.array(own, given)))).groupBy("id").agg(*[F.max(c).alias(c) for c in rest], F.max(value).alias(value))
+            done += 1
+        state = checkpointed(state)
+        if not state.join(before.select("id", F.col(value).alias("_was")), "id").where(F.col(value) > F.col("_was")).take(1):
+            break
+    return state
 
 
 def longest_ranks(edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -133,16 +168,9 @@ def longest_ranks(edges: DataFrame, limit: int | None = None) -> DataFrame:
     there are ids, or limit.
     """
     pairs = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     ranks = checkpointed(ends.withColumn("rank", F.lit(0)))
-    for _ in range(limit if limit is not None else ranks.count()):
-        risen = pairs.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("rank") + 1).alias("risen"))
-        ranks = checkpointed(ranks.join(risen, "id", "left").select("id", F.greatest("rank", F.coalesce("risen", F.lit(0))).alias("rank"), (F.col("risen") > F.col("rank")).alias("moved")))
-        done = not ranks.where("moved").take(1)
-        ranks = ranks.drop("moved")
-        if done:
-            break
-    return ranks
+    return relaxed(ranks, pairs, "rank", F.col("rank") + 1, ranks.count() if limit is None else limit)
 
 
 _ID = "concat({0}_node, '|', {0}_key)"
@@ -155,8 +183,8 @@ def trace(maps: DataFrame, table: str, column: str | None = None, direction: str
     step_rank, the longest path to the edge's source within the trace.
     An unknown table or no maps give no rows.
     """
-    edges = checkpointed(column_edges(maps))
-    known = registry(maps)
+    pairs = checkpointed(column_pairs(maps))
+    edges, known = column_edges(pairs), checkpointed(registry(pairs))
     seeds = known.where((F.col("node") == f"t:{table.lower()}") & (F.lit(column is None) | (F.col("key") == (column or "").lower()))).select(F.concat("node", F.lit("|"), "key").alias("id"))
     taken = None
     for down in (True, False) if direction == "both" else (direction == "down",):
@@ -177,12 +205,12 @@ def trace(maps: DataFrame, table: str, column: str | None = None, direction: str
 
 def table_edges(maps: DataFrame) -> DataFrame:
     """Distinct (src, dst) of table nodes over all maps, those without columns too."""
-    return keyed(maps).select(F.col("source_node").alias("src"), F.col("target_node").alias("dst")).where("src <> 'x:' and dst <> 'x:'").distinct()
+    return keyed(_ends(maps)).select(F.col("source_node").alias("src"), F.col("target_node").alias("dst")).where("src <> 'x:' and dst <> 'x:'").distinct()
 
 
 def mapping_steps(maps: DataFrame) -> DataFrame:
     """maps with step_number: one more than the longest path of tables to the source."""
-    ranks = longest_ranks(table_edges(maps)).select(F.col("id").alias("source_node"), (F.col("rank") + 1).alias("step_number"))
+    ranks = longest_ranks(checkpointed(table_edges(maps))).select(F.col("id").alias("source_node"), (F.col("rank") + 1).alias("step_number"))
     return keyed(maps).join(ranks, "source_node").select(*maps.columns, F.col("step_number").cast("int").alias("step_number"))
 
 

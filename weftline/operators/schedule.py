@@ -7,7 +7,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.lineage import text
+from weftline.operators.lineage import relaxed, text
 from weftline.session import checkpointed
 
 # Estimated seconds of a task by its type, and what each component of a data flow adds.
@@ -73,15 +73,10 @@ def finish_times(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     known = tasks.select("task_id", "seconds")
     pairs = edges.join(known.select(F.col("task_id").alias("src")), "src", "left_semi").join(known.select(F.col("task_id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst").distinct()
     pairs = checkpointed(pairs)
-    state = checkpointed(known.withColumn("finish", F.col("seconds")))
-    for _ in range(state.count()):
-        best = pairs.join(state.select(F.col("task_id").alias("src"), "finish"), "src").groupBy(F.col("dst").alias("task_id")).agg(F.max("finish").alias("before"))
-        state = checkpointed(state.join(best, "task_id", "left").select("task_id", "seconds", F.greatest("finish", F.col("seconds") + F.coalesce("before", F.lit(0.0))).alias("finish"), (F.col("seconds") + F.col("before") > F.col("finish")).alias("moved")))
-        done = not state.where("moved").take(1)
-        state = state.drop("moved")
-        if done:
-            break
-    return state
+    state = checkpointed(known.select(F.col("task_id").alias("id"), "seconds", F.col("seconds").alias("finish")))
+    starts = state.select("id", "seconds").withColumnsRenamed({"id": "dst", "seconds": "adds"})
+    weighted = checkpointed(pairs.join(starts, "dst"))
+    return relaxed(state, weighted, "finish", F.col("finish") + F.col("adds"), state.count()).select(F.col("id").alias("task_id"), "seconds", "finish")
 
 
 def critical_path(tasks: DataFrame, edges: DataFrame) -> dict[str, object]:
