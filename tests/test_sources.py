@@ -45,6 +45,8 @@ def test_packages(spark, project):
     assert maps == {("INSERT", "S", "y", "T", "x"), ("Derived Column", "Orders", "Id", "Der", "Id"), ("DERIVED_COLUMN", "Der", "Id", "Der", "Twice"), ("OLE DB Destination", "Der", "Twice", "Fact", "Doubled")}
     assert len(rows.where("kind = 'package'").first()["fields"]["file_hash"]) == 64
     assert packages.project_packages(str(project)) == ["Load.dtsx"] and packages.start_packages(["Load.dtsx"], "load") == ["Load.dtsx"]
+    (project / "Project.params").write_text('<P xmlns:SSIS="x"><SSIS:Parameter SSIS:Name="Env"><SSIS:Properties><SSIS:Property SSIS:Name="Value">dev</SSIS:Property></SSIS:Properties></SSIS:Parameter></P>')
+    assert packages.project_parameters(str(project)) == {"Project::Env": "dev"}
     assert packages.reachable(rows, ["Load.dtsx"]) == (["load", "child"], [])
     with pytest.raises(ValueError):
         packages.start_packages(["Load.dtsx"], "other")
@@ -130,6 +132,9 @@ def test_exports(spark, tmp_path):
     assert exports.write_lines(exports.lineage_csv(m.select("package_id", "source_column")), str(tmp_path / "a.csv")) == 3
     assert (tmp_path / "a.csv").read_text().splitlines()[0] == '"package_id","source_column"'
     assert exports.write_lines(exports.html_report("R", {"Maps": m}), str(tmp_path / "a.html")) == 5
+    assert exports.write_lines(exports.yaml_lines("maps", m.select("task_id", "source_column")), str(tmp_path / "a.yaml")) == 3
+    assert '    source_column: "x\'y"' in (tmp_path / "a.yaml").read_text()
+    assert len(exports.workbook({"Maps": m, "Tasks": m.select("task_id")}, str(tmp_path))) == 2
     exports.write_lines(exports.markdown("R", {"Maps": m}), str(tmp_path / "a.md"))
     assert (tmp_path / "a.md").read_text().startswith("# R\n\n## Maps")
     assert "columns:" in "".join(r["line"] for r in exports.contract_yaml(spark.createDataFrame([("t", "c")], "table_name string, column_name string")).collect())

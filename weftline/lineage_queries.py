@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import etl
 from weftline.operators import lineage as L
+from weftline.operators import narrative as N
 from weftline.operators import questions as Q
 from weftline.operators import schedule as S
 from weftline.session import checkpointed, table
+from weftline.sources import tsql
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED_TABLE, SEED_COLUMN, LATE_TABLE = "L0.t3", "c1", "L6.t50"
@@ -123,6 +125,14 @@ def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", usual.alias("component_type"), etl.component_advice(usual).alias("advice"))
 
 
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one script for each order: an insert with a join, read by the T-SQL reader."""
+    o = table(spark, sf_dir, "orders")
+    sql = F.format_string("INSERT INTO dw.Fact_%s (k, v) SELECT o.k, c.v * 2 FROM stg.O%s o JOIN stg.C c ON c.k = o.k WHERE o.id = %s", F.col("o_orderstatus"), (F.col("o_custkey") % 7).cast("string"), F.col("o_orderkey").cast("string"))
+    records = tsql.lineage_records(o.select("o_orderkey", sql.alias("sql")), ["o_orderkey"], "sql")
+    return records.groupBy("operation_type", "source_table", "source_column", "target_schema", "target_table", "target_column", "source_expression").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     "trace_downstream": _on(lambda m: L.trace(m, SEED_TABLE, SEED_COLUMN, "down")),
     "trace_upstream": _on(lambda m: L.trace(m, LATE_TABLE, "c2", "up")),
@@ -157,6 +167,12 @@ QUERIES: dict[str, Query] = {
     "mermaid_edges": _on(_mermaid),
     "openlineage_inputs": _on(_openlineage),
     "summary_tiles": _on(_reports),
+    "drill_down_task": _on(lambda m: N.drill_down(m, task_id="task_3_2")),
+    "complete_columns": _on(lambda m: N.complete(m, "C", "l2.t18")),
+    "package_effort": _on(lambda m: N.effort(m.select("package_id", "task_id", "target_table").distinct())),
+    "narratives": _on(N.task_narratives),
+    "task_recommendations": _on(lambda m: N.task_recommendations(_tasks(m)[0])),
+    "tsql_lineage_records": _scripts,
     "task_duration_estimates": _on(_durations),
     "critical_path_distances": _on(_finish),
     "candidate_table_resolution": _candidates,
@@ -272,6 +288,12 @@ SELECT kind, 'added' AS change, key FROM (SELECT * FROM b EXCEPT SELECT * FROM a
     "mermaid_edges": f"WITH {_M} SELECT DISTINCT source_schema || '.' || source_table AS src, target_schema || '.' || target_table AS dst, replace(regexp_replace(operation_type, '^SQL_PROC_', ''), '_', ' ') AS op FROM maps",
     "openlineage_inputs": f"WITH {_M} SELECT task_id, target_schema || '.' || target_table AS output, target_column AS field, string_agg(DISTINCT {_LABEL}, ',' ORDER BY {_LABEL}) AS input_fields FROM maps WHERE target_column <> '*' GROUP BY ALL",
     "summary_tiles": f"WITH {_M} SELECT 'maps' AS tile, CAST(count(*) AS BIGINT) AS n FROM maps UNION ALL SELECT 'packages', count(DISTINCT package_id) FROM maps UNION ALL SELECT 'tasks', count(DISTINCT task_id) FROM maps UNION ALL SELECT 'source_tables', count(DISTINCT source_schema || source_table) FROM maps UNION ALL SELECT 'target_tables', count(DISTINCT target_schema || target_table) FROM maps UNION ALL SELECT 'operations', count(DISTINCT operation_type) FROM maps",
+    "drill_down_task": f"WITH {_M} SELECT DISTINCT {_LABEL} AS source, {_LABEL2} AS target, operation_type FROM maps WHERE task_id = 'task_3_2' ORDER BY 1, 2, 3 LIMIT 500",
+    "complete_columns": f"WITH {_M} SELECT source_column AS choice FROM maps WHERE source_table = 't18' AND source_column LIKE '%c%' UNION SELECT target_column FROM maps WHERE target_table = 't18' AND target_column LIKE '%c%'",
+    "package_effort": f"WITH {_M}, c AS (SELECT package_id, count(*) AS n_components FROM (SELECT DISTINCT package_id, task_id, target_table FROM maps) GROUP BY 1), d AS (SELECT *, greatest(1, CAST(floor(n_components * 1.5) AS INTEGER)) AS person_days FROM c) SELECT *, CASE WHEN person_days <= 5 THEN 'S' WHEN person_days <= 15 THEN 'M' WHEN person_days <= 40 THEN 'L' ELSE 'XL' END AS size FROM d",
+    "task_recommendations": f"WITH {_TASKS} SELECT task_id, ['Data Flow Task', 'Execute SQL Task', 'Execute Package Task'][k % 3 + 1] AS usual_type, ['dbt Model (SQL)', 'dbt pre/post-hook or PythonOperator', 'Airflow SubDAG or TriggerDagRunOperator'][k % 3 + 1] AS recommendation FROM timed",
+    "tsql_lineage_records": """SELECT 'INSERT' AS operation_type, 'O' || o_custkey % 7 AS source_table, 'k' AS source_column, 'dw' AS target_schema, 'Fact_' || o_orderstatus AS target_table, 'k' AS target_column, 'o.k' AS source_expression, count(*) AS n FROM orders GROUP BY ALL
+UNION ALL SELECT 'INSERT', 'C', 'v', 'dw', 'Fact_' || o_orderstatus, 'v', 'c.v * 2', count(*) FROM orders GROUP BY ALL""",
     "task_duration_estimates": f"WITH {_TASKS} SELECT task_id, package_id, seconds, CASE WHEN seconds >= 300 THEN 'High' WHEN seconds >= 120 THEN 'Medium' ELSE 'Low' END AS level, reason FROM timed",
     "critical_path_distances": f"WITH RECURSIVE {_TASKS}, walk(task_id, package_id, k, seconds, finish) AS (SELECT task_id, package_id, k, seconds, seconds FROM timed UNION SELECT t.task_id, t.package_id, t.k, t.seconds, w.finish + t.seconds FROM walk w JOIN timed t ON t.package_id = w.package_id AND t.k = w.k + 1) SELECT task_id, seconds, max(finish) AS finish FROM walk GROUP BY 1, 2",
     "candidate_table_resolution": """WITH lists AS (SELECT DISTINCT source_table, source_column_name AS source_column FROM column_map WHERE source_table LIKE '%|%'),

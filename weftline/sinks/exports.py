@@ -132,3 +132,21 @@ def write_lines(lines: DataFrame, path: str) -> int:
             out.write(row["line"] + "\n")
             n += 1
     return n
+
+
+def yaml_lines(name: str, rows: DataFrame) -> DataFrame:
+    """A table as a YAML list under name; every value is a quoted text."""
+    quoted = lambda c: F.to_json(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")))
+    value = lambda c: F.regexp_extract(quoted(c), r"(?s)^\{\"v\":(.*)\}$", 1)
+    item = F.concat(F.lit("  - "), F.concat_ws("\n    ", *[F.concat(F.lit(f"{c}: "), value(c)) for c in rows.columns]))
+    return _lines([_one(rows, f"{name}:"), rows.select(item.alias("line"))])
+
+
+def workbook(sheets: dict[str, DataFrame], folder: str) -> list[str]:
+    """The sheets of a workbook as one CSV file each, written to a local folder; gives their paths."""
+    made = []
+    for name, rows in sheets.items():
+        path = str(Path(folder) / f"{name}.csv")
+        write_lines(lineage_csv(rows), path)
+        made.append(path)
+    return made

@@ -244,3 +244,14 @@ def reachable(rows: DataFrame, start: list[str]) -> tuple[list[str], list[str]]:
         done.append(here)
         queue += after.get(here, [])
     return done, again
+
+
+def project_parameters(path: str) -> dict[str, str]:
+    """The parameters of a project's *.params files as Project::Name and their values."""
+    out: dict[str, str] = {}
+    folder = Path(path) if Path(path).is_dir() else Path(path).parent
+    for file in sorted(folder.glob("*.params")):
+        for p in every(ET.fromstring(file.read_bytes()), "Parameter"):
+            value = next((x.text or "" for x in every(p, "Property") if attribute(x, "Name") == "Value"), "")
+            out.setdefault(f"Project::{attribute(p, 'Name')}", value)
+    return out
