@@ -57,3 +57,9 @@ def test_without_labels_and_documents(corpus):
     got = {r["doc_id"]: r["score"] for r in A.score(docs, labels.limit(0)).collect()}
     assert max(got[k] for k in truth if not truth[k]) < max(got[k] for k in truth if truth[k])
     assert A.score(docs.limit(0), labels).count() == 0
+
+
+def test_long_texts_are_scored_whole():
+    model = A.Model(RESTORER, {"moron": 3.0}, {})
+    assert model.score("calm " * 50_000 + "moron") == 3.0 and model.score("a b " * 9 + "x" * 100_000) == 0.0
+    assert max(len(s.split()) for s in model.worst("calm words " * 1000, 3)) <= A.LONGEST

@@ -42,6 +42,8 @@ from weftline.session import checkpointed
 LABELLED, WORST, OTHERS, MODEL, LEAST = 20_000, 3, 5, 200_000, 2
 #: The threshold, and how weights are fitted: rounds, steps of a round, rate, pull to the seed list.
 THRESHOLD, ROUNDS, STEPS, RATE, PULL = 3.5, 3, 150, 0.1, 5e-4
+#: Words of a sentence; longer ones are taken as several.
+LONGEST = 200
 #: What a bad sentence counts against a harmless one.
 BAD_WEIGHT = 12.0
 #: Value below which a label that calls a document bad is taken as wrong.
@@ -249,6 +251,9 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
             gains[1:] += np.where(self.keys[at] == pair, self.double[at], 0.0)
         starts = np.unique(np.concatenate([[0], np.flatnonzero(numbers < 0)]))
+        gaps = np.diff(starts, append=len(tokens))
+        if gaps.max() > LONGEST:  # text without sentence ends is taken in stretches
+            starts = np.concatenate([np.arange(a, a + n, LONGEST) for a, n in zip(starts, gaps, strict=True)])
         return tokens, starts, np.add.reduceat(gains, starts) + self.bias
 
     def plain(self, sentence: str) -> float:
@@ -412,7 +417,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, float]:
             yield pd.DataFrame({"half": frame["half"], "bad": frame["bad"], "own": own})
 
     found = known.mapInPandas(worst, "half int, bad long, own array<string>").collect()  # at most LABELLED rows
-    bags = [[(r["bad"], [s[:1000] for s in r["own"]] or [""]) for r in found if r["half"] == h] for h in (0, 1)]
+    bags = [[(r["bad"], list(r["own"]) or [""]) for r in found if r["half"] == h] for h in (0, 1)]
     if sizes[1] < ENOUGH or not all(any(b for b, _ in own) for own in bags):
         return Model(restorer, *_regression(bags[0] + bags[1])), THRESHOLD
     kept_before: list[list[tuple[int, list[str]]]] = []
