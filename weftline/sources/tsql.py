@@ -353,8 +353,6 @@ class Reader:
             return
         if k < len(first):
             parts, end = self.name_at(first, k + 1)
-            at = len(first) - k
-            del at
             body = body[:k] + body[end:]
             self.query(body, "SELECTINTO", self.table(parts), None)
         else:
@@ -388,7 +386,7 @@ class Reader:
         """Records of a query into target; gives the names of its columns."""
         parts = split(own, "UNION", "EXCEPT", "INTERSECT")
         names: list[str] = []
-        for n, part in enumerate(parts):
+        for part in parts:
             while part and part[0].word in ("ALL", "DISTINCT"):
                 part = part[1:]
             while part and part[0].word == "(" and closing(part, 0) >= len(part) - 1:
@@ -400,7 +398,6 @@ class Reader:
             else:
                 continue
             names = names or got
-            del n
         return names
 
     def simple(self, own: list[Tok], operation: str, target: Table, columns: list[str] | None, outer: Scope | None) -> list[str]:
