@@ -64,3 +64,13 @@ def test_no_rows(spark):
 
 def test_edits():
     assert [N.near("abc", x) for x in ("abc", "acb", "ab", "axc", "cba", "xyz", "abcdef")] == [0, 1, 1, 1, 2, 3, 3]
+
+
+def test_two_edits_are_linked(spark):
+    pairs = [("Antiglendimor", "Antigelndimir"), ("Gelonituzet", "Glnituzet"), ("Jeklarevik", "Jeklarefyk"), ("Tukigrepelan", "Utkigrepelna"), ("Skormebrukas", "Skormebrumkasi")]
+    assert {N.near(a.lower(), b.lower()) for a, b in pairs} == {2}
+    rows = [(2 * k + n, x) for k, (a, b) in enumerate(pairs) for n, x in enumerate((f"Maria {a}", f"{b}, MARIA"))]
+    rows += [(100 + k, f"{g} {f}") for k, (g, f) in enumerate(itertools.product(GIVEN, FAMILY[1:2] + FAMILY[3:]))]
+    named = spark.createDataFrame([("customer", *r) for r in rows], "kind string, id long, name string")
+    found = {(r["id_a"], r["id_b"]) for r in N.same_entity_pairs(N.link_names(named)).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= found

@@ -9,8 +9,9 @@ similarity join by cosine with a threshold, and average-linkage clustering of wh
      abbreviations of frequent words are resolved to them. Equal results form a class, the unit of
      all later steps, so copies of a spelling are never paired.
   2. Bases are joined on shared n-grams. Only the longest grams are indexed: the whole base and the
-     grams with one character left out. They are so rare that lists stay short as the data grows,
-     where lists of short grams would grow with the square of it. Pairs then get the cosine of their
+     grams with one character left out, of bases with TWO_EDITS letters also those with two left out,
+     as all bases within the edits allowed share one of them. They are so rare that lists stay short
+     as the data grows, where lists of short grams would grow with the square of it. Pairs then get the cosine of their
      vectors of n-grams of GRAM characters and must reach COSINE.
   3. Pairs of classes with such bases are checked word by word, with initials, nicknames, left out
      middle names and different order allowed, which gives their similarity.
@@ -41,6 +42,8 @@ FREQUENT, FREQUENT_LEAST = 0.003, 3
 #: Words of a name that count at most when frequent words are sought.
 WORDS = 12
 GRAM, COSINE, LINKAGE = 3, 0.25, 0.4
+#: Letters that bases must have to differ by one edit, and by two.
+ONE_EDIT, TWO_EDITS = 4, 8
 
 # Words that aren't part of a person's name.
 TITLES = set(
@@ -135,6 +138,11 @@ def holes(word: str) -> set[str]:
     return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
 
 
+def edits(size: int) -> int:
+    """The edits by which bases may differ whose shorter one has size letters."""
+    return (size >= ONE_EDIT) + (size >= TWO_EDITS)
+
+
 class Parts:
     """Takes names apart by the frequent words of their table."""
 
@@ -360,7 +368,7 @@ def _similar(pairs: DataFrame, frequent: dict[str, dict[str, int]], weight: dict
                 near_by = 1.0
                 if base != base2:
                     angle = cosine(base, base2, weight, usual)
-                    if angle < COSINE or near(base, base2) > (0 if min(len(base), len(base2)) < 4 else 1 if min(len(base), len(base2)) < 8 else 2):
+                    if angle < COSINE or near(base, base2) > edits(min(len(base), len(base2))):
                         continue
                     near_by = 0.7 + 0.3 * angle
                 sim = near_by * similarity(kind, (list(rest), base, form), (list(rest2), base2, form2), frequent[kind])
@@ -421,15 +429,17 @@ def link_names(named: DataFrame) -> DataFrame:
     counted = bases.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most 38 ^ GRAM
     total = bases.count()
     weight, usual = {r["gram"]: math.log(1 + total / r["n"]) for r in counted}, math.log(1 + total)
-    # A letter left out may leave two alike side by side, which count as one in bases
-    left_out = "regexp_replace(concat(substring(base, 1, k - 1), substring(base, k + 1)), '(.)\\\\1+', '$1')"
-    longest = F.expr(f"array_distinct(concat(array(base), transform(sequence(1, length(base)), k -> {left_out})))")
-    indexed = bases.where(F.length("base") >= 4).select("kind", "key", "base", F.explode(longest).alias("gram"))
-    met = indexed.join(indexed.withColumnRenamed("base", "base2"), ["kind", "key", "gram"]).where("base < base2").select("kind", "key", "base", "base2").distinct()
-    met = met.union(bases.select("kind", "key", "base", F.col("base").alias("base2")))
+    # Pairs within the edits that bases of their length may differ by share what is left of both without as many letters
+    longest = F.expr(
+        f"flatten(transform(sequence(1, length(base)), i -> transform(if(length(base) >= {TWO_EDITS}, sequence(i, length(base)), array(i)), "
+        "j -> xxhash64(concat(substring(base, 1, i - 1), substring(base, i + 1, j - i - 1), substring(base, j + 1))))))"
+    )
+    indexed = checkpointed(bases.where(F.length("base") >= ONE_EDIT).select("kind", "base").distinct()).select("kind", "base", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("base")), longest))).alias("gram"))
+    met = indexed.join(indexed.withColumnRenamed("base", "base2"), ["kind", "gram"]).where("base < base2").select("kind", "base", "base2").distinct()
+    met = met.union(bases.select("kind", "base", F.col("base").alias("base2")).distinct())
     other = keyed.select("kind", "key", F.col("cls").alias("b"), F.col("rest").alias("rest2"), F.col("base").alias("base2"), F.col("form").alias("form2"))
     pairs = (
-        met.join(keyed, ["kind", "key", "base"]).join(other, ["kind", "key", "base2"])
+        met.join(keyed, ["kind", "base"]).join(other, ["kind", "key", "base2"])
         .where((F.col("base") < F.col("base2")) | (F.col("cls") < F.col("b")))
         .select("kind", F.col("cls").alias("a"), "rest", "base", "form", "b", "rest2", "base2", "form2")
         .dropDuplicates(["kind", "a", "b"])
