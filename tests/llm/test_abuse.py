@@ -63,3 +63,8 @@ def test_long_texts_are_scored_whole():
     model = A.Model(RESTORER, {"moron": 3.0}, {})
     assert model.score("calm " * 50_000 + "moron") == 3.0 and model.score("a b " * 9 + "x" * 100_000) == 0.0
     assert max(len(s.split()) for s in model.worst("calm words " * 1000, 3)) <= A.LONGEST
+
+
+@pytest.mark.parametrize("raw, word", [("d1p5h1+", "dipshit"), ("455h0l3", "asshole"), ("b1tch35", "bitches"), ("5h1+", "shit"), ("1d10+", "idiot"), ("whor3", "whore"), ("cun7", "cunt"), ("a$$", "ass"), ("f***", "fuck"), ("stupid1", "stupid"), ("$moron$", "moron")])
+def test_last_letter_disguised(raw, word):
+    assert RESTORER.words(f"you {raw} there")[1] == word

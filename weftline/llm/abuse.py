@@ -52,6 +52,8 @@ DOUBT = -2.0
 ENOUGH = 30
 #: Share of the seed list in the language model.
 SHARE = 0.2
+#: Cost of taking the signs at an edge of a word for none of its letters, and of one disguised elsewhere too.
+DROP, DROP_DISGUISED = 1.0, 5.0
 
 # Words that insult, threaten or demean, or describe sex explicitly, by language.
 SEEDS = {
@@ -93,7 +95,8 @@ _SIGN = "0-9@$+|€£#*"
 TOKEN = re.compile(rf"[a-z{_SIGN}]+(?:!+[a-z{_SIGN}]+)*|[.!?]+(?=\s)|\n\s*\n|\}}\{{|\}}\s*\n|\n\s*\\[a-z]+|\\(?:footnote|begin|end|item|section|todo)\b")
 ENDS = set(".!?\n}\\")
 #: Numbers of four digits are years or the like and stand for no letters.
-DISGUISED = re.compile(rf"(?!.*\d{{4}})[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)+")
+DISGUISED = re.compile(rf"(?!.*\d{{4}})[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)*[!{_SIGN}]{{0,6}}")
+EDGE = "0123456789@$+|€£#*!"
 RUN = re.compile(r"([a-z])\1\1")
 
 
@@ -134,7 +137,9 @@ class Restorer:
                 own[a, b, c] += 1.0
         mixed = (1 - SHARE) * grams + SHARE * own / own.sum()
         self.log = np.log(mixed / mixed.sum(axis=2, keepdims=True)).tolist()
-        self.seeds = list(seeds)
+        self.seeds: dict[int, list[str]] = {}
+        for w in seeds:
+            self.seeds.setdefault(len(w), []).append(w)
         long = {w for w in seeds if len(w) >= 4}
         swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :]: w for w in long for k in range(len(w) - 1)}
         self.swapped = {s: w for s, w in swaps.items() if s not in seeds}
@@ -151,9 +156,14 @@ class Restorer:
         """Words of the seed list that a word with digits, signs or masks may stand for."""
         if word.isalpha() or len(word) < 3:
             return []
-        shape = "".join("[a-z]" if c in MASKS else f"[{LEET[c]}]" if c in LEET else c if c.isalpha() else "" for c in word)
-        fits = re.compile(shape)
-        return [w for w in self.seeds if len(w) >= 3 and fits.fullmatch(w)]
+        shape = ["[a-z]" if c in MASKS else f"[{LEET[c]}]" if c in LEET else c for c in word if c in MASKS or c in LEET or c.isalpha()]
+        own = self.seeds.get(len(shape), []) if len(shape) >= 3 else []
+        if not own:
+            return []
+        if len(shape) == 3 and sum(c.isalpha() for c in word) < 2 and any(c.isdigit() or c in MASKS for c in word):
+            return []  # such as d13 or a**, which are labels and marks
+        fits = re.compile("".join(shape))
+        return [w for w in own if fits.fullmatch(w)]
 
     def likelihood(self, word: str) -> float:
         codes = [0, 0, *[ord(c) - 96 for c in word], 0]
@@ -175,6 +185,14 @@ class Restorer:
             else:
                 out = [("", 1, 0.1)]
             arcs.append(out)
+        # Signs at the end may also stand for nothing, and around a word of letters those at the beginning
+        core = word.strip(EDGE)
+        last = len(word.rstrip(EDGE))
+        for k in range(max(1, last), len(word)):
+            arcs[k].append(("", len(word) - k, DROP if core.isalpha() else DROP_DISGUISED))
+        first = len(word) - len(word.lstrip(EDGE))
+        if core.isalpha() and 0 < first < last < len(word):
+            arcs[0].append(("", first, DROP))
         return arcs
 
     def decode(self, word: str) -> str:
@@ -203,15 +221,19 @@ class Restorer:
         if token.isalpha():
             word = self.decode(token) if len(token) <= 200 and RUN.search(token) else token
             return self.swapped.get(word, word)
-        core = token.strip("0123456789@$+|€£#*!")
+        core = token.strip(EDGE)
         letters = re.sub("[*+|#!]", "", token)
-        if len(core) > 3 and core.isalpha() and len(core) >= len(token) - 1 and token[0] not in LEET:
-            return self.resolve(core)
-        if len(letters) > 2 and letters.isalpha() and len(token) == 2 * len(letters) - 1:  # letters one by one
+        if len(letters) > 2 and letters.isalpha() and len(token) == 2 * len(letters) - 1 and token[-1].isalpha():  # letters one by one
             return letters
-        if 3 <= len(token) <= 60 and DISGUISED.fullmatch(token) and sum(c.isalpha() for c in token) >= 2:
+        if core and 3 <= len(token) <= 60 and DISGUISED.fullmatch(token):
             listed = self.listed(token)
-            return max(listed, key=self.likelihood) if listed else self.decode(token)
+            if listed:
+                return max(listed, key=self.likelihood)
+            around = token.split(core, 1)
+            if core.isalpha() and (around[0] == around[1] or core in self.swapped or core in self.seeds.get(len(core), ())):
+                return self.resolve(core)
+            if sum(c.isalpha() for c in token) >= 2:
+                return self.decode(token)
         return core if core.isalpha() else ""
 
     def words(self, text: str) -> list[str]:
