@@ -68,3 +68,12 @@ def test_long_texts_are_scored_whole():
 @pytest.mark.parametrize("raw, word", [("d1p5h1+", "dipshit"), ("455h0l3", "asshole"), ("b1tch35", "bitches"), ("5h1+", "shit"), ("1d10+", "idiot"), ("whor3", "whore"), ("cun7", "cunt"), ("a$$", "ass"), ("f***", "fuck"), ("stupid1", "stupid"), ("$moron$", "moron")])
 def test_last_letter_disguised(raw, word):
     assert RESTORER.words(f"you {raw} there")[1] == word
+
+
+@pytest.mark.parametrize("raw, word", [("f4660t", "faggot"), ("sch3155e", "scheisse"), ("8457ard", "bastard"), ("smith1998a", ""), ("1998smith", "smith"), ("smith2020", "smith")])
+def test_four_digits_in_a_row(raw, word):
+    assert RESTORER.words(raw) == [word]
+
+
+def test_only_years_at_an_edge_are_skipped():
+    assert not A.YEAR.match("n1663r") and not A.YEAR.match("a4660b") and A.YEAR.match("key2005a") and len(RESTORER.words("n1663r")[0]) == 6

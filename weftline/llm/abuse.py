@@ -94,9 +94,10 @@ _SIGN = "0-9@$+|€£#*"
 #: blank lines, arguments, commands that set text apart.
 TOKEN = re.compile(rf"[a-z{_SIGN}]+(?:!+[a-z{_SIGN}]+)*|[.!?]+(?=\s)|\n\s*\n|\}}\{{|\}}\s*\n|\n\s*\\[a-z]+|\\(?:footnote|begin|end|item|section|todo)\b")
 ENDS = set(".!?\n}\\")
-#: Numbers of four digits are years or the like and stand for no letters.
-DISGUISED = re.compile(rf"(?!.*\d{{4}})[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)*[!{_SIGN}]{{0,6}}")
+DISGUISED = re.compile(rf"[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)*[!{_SIGN}]{{0,6}}")
 EDGE = "0123456789@$+|€£#*!"
+#: Years at an edge of a word, such as those of citation keys, stand for no letters.
+YEAR = re.compile(r"(?:1[5-9]|20)\d\d(?!\d)|.*(?<!\d)(?:1[5-9]|20)\d\d$|.*[a-z]{3}(?:1[5-9]|20)\d\d[a-z]$")
 RUN = re.compile(r"([a-z])\1\1")
 
 
@@ -232,7 +233,7 @@ class Restorer:
             around = token.split(core, 1)
             if core.isalpha() and (around[0] == around[1] or core in self.swapped or core in self.seeds.get(len(core), ())):
                 return self.resolve(core)
-            if sum(c.isalpha() for c in token) >= 2:
+            if sum(c.isalpha() for c in token) >= 2 and not YEAR.match(token):
                 return self.decode(token)
         return core if core.isalpha() else ""
 
