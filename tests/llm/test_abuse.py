@@ -77,3 +77,7 @@ def test_four_digits_in_a_row(raw, word):
 
 def test_only_years_at_an_edge_are_skipped():
     assert not A.YEAR.match("n1663r") and not A.YEAR.match("a4660b") and A.YEAR.match("key2005a") and len(RESTORER.words("n1663r")[0]) == 6
+
+
+def test_currency_signs_stand_for_letters():
+    assert RESTORER.words("hur€nsohn") == ["hurensohn"] and RESTORER.words("a££e £ 100 € 5")[0] == "alle" and A.fold("5 € – £") == "5 €   £"

@@ -82,7 +82,7 @@ LOOK = dict(zip("авекмнорстухіјѕԁһԛԝɡɑαβεηικνορτ
 HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"))
 _SWAP = str.maketrans(HIDDEN | {ord(a): b for a, b in LOOK.items()} | {ord("ß"): "ss", ord("ø"): "o", ord("ł"): "l", ord("æ"): "ae", ord("œ"): "oe", ord("ı"): "i"})
 _ODD = re.compile("[" + "".join(map(chr, _SWAP)) + "]")
-_MARKS, _OTHER = re.compile("[̀-ͯ]+"), re.compile("[^\x00-\x7f]+")
+_MARKS, _OTHER = re.compile("[̀-ͯ]+"), re.compile("[^\x00-\x7f€£]+")
 
 _FORMAT = r"\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox)\{([a-z]+)\}"
 #: Formatting of a part of a word, which is taken away so that the word is whole again.
