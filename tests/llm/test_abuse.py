@@ -81,3 +81,8 @@ def test_only_years_at_an_edge_are_skipped():
 
 def test_currency_signs_stand_for_letters():
     assert RESTORER.words("hur€nsohn") == ["hurensohn"] and RESTORER.words("a££e £ 100 € 5")[0] == "alle" and A.fold("5 € – £") == "5 €   £"
+
+
+@pytest.mark.parametrize("raw, word", [("f" + "u" * 300 + "ck", "fuck"), ("m" + "o" * 80 + "r0n", "moron"), ("s7" + "u" * 500 + "p1d", "stupid"), ("n4k3d" * 20, "naked" * 20)])
+def test_long_words_are_decoded(raw, word):
+    assert RESTORER.words(raw) == [word]

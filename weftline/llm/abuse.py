@@ -99,6 +99,8 @@ EDGE = "0123456789@$+|€£#*!"
 #: Years at an edge of a word, such as those of citation keys, stand for no letters.
 YEAR = re.compile(r"(?:1[5-9]|20)\d\d(?!\d)|.*(?<!\d)(?:1[5-9]|20)\d\d$|.*[a-z]{3}(?:1[5-9]|20)\d\d[a-z]$")
 RUN = re.compile(r"([a-z])\1\1")
+#: One character drawn out, which is taken as three; words with signs of more than DRAWN characters have no more of any.
+LONG_RUN, DRAWN = re.compile(r"(.)\1{3,}"), 60
 
 
 def fold(text: str) -> str:
@@ -220,13 +222,15 @@ class Restorer:
         if token[0] in ENDS and not token.lstrip("!").isalnum():
             return "."
         if token.isalpha():
-            word = self.decode(token) if len(token) <= 200 and RUN.search(token) else token
+            word = self.decode(LONG_RUN.sub(r"\1\1\1", token)) if RUN.search(token) else token
             return self.swapped.get(word, word)
+        if len(token) > DRAWN:
+            token = LONG_RUN.sub(r"\1\1\1", token)
         core = token.strip(EDGE)
         letters = re.sub("[*+|#!]", "", token)
         if len(letters) > 2 and letters.isalpha() and len(token) == 2 * len(letters) - 1 and token[-1].isalpha():  # letters one by one
             return letters
-        if core and 3 <= len(token) <= 60 and DISGUISED.fullmatch(token):
+        if core and len(token) >= 3 and DISGUISED.fullmatch(token):
             listed = self.listed(token)
             if listed:
                 return max(listed, key=self.likelihood)
