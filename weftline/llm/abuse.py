@@ -159,14 +159,13 @@ class Restorer:
         """Words of the seed list that a word with digits, signs or masks may stand for."""
         if word.isalpha() or len(word) < 3:
             return []
-        shape = ["[a-z]" if c in MASKS else f"[{LEET[c]}]" if c in LEET else c for c in word if c in MASKS or c in LEET or c.isalpha()]
+        shape = ["" if c in MASKS else LEET.get(c, c) for c in word if c in MASKS or c in LEET or c.isalpha()]
         own = self.seeds.get(len(shape), []) if len(shape) >= 3 else []
         if not own:
             return []
         if len(shape) == 3 and sum(c.isalpha() for c in word) < 2 and any(c.isdigit() or c in MASKS for c in word):
             return []  # such as d13 or a**, which are labels and marks
-        fits = re.compile("".join(shape))
-        return [w for w in own if fits.fullmatch(w)]
+        return [w for w in own if all(not may or c in may for c, may in zip(w, shape, strict=True))]
 
     def likelihood(self, word: str) -> float:
         codes = [0, 0, *[ord(c) - 96 for c in word], 0]
