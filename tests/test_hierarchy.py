@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -29,16 +30,22 @@ def brute(links):
     return out, paths
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_forests_with_loops(spark, seed):
+@pytest.mark.parametrize("seed, local", [(0, None), (1, None), (2, 15)])
+def test_random_forests_with_loops(spark, seed, local):
     pick = random.Random(seed)
     links = [(f"n{pick.randrange(max(1, k - 30), k + 1)}", f"n{k}") for k in range(1, 150) if pick.random() < 0.9]
     links += [("n9", "n5"), ("n5", "n7"), ("n7", "n9"), (None, "n3"), ("n4", None), ("n8", "n8")] if seed else []
+    if seed > 1:  # a long loop with trees below it, and a chain
+        links += [(f"c{k}", f"c{(k + 1) % 37}") for k in range(37)] + [(f"c{k}", f"d{k}") for k in range(37)] + [(f"d{k}", f"d{k}x{j}") for k in range(20) for j in range(k % 3)]
+        links += [(f"e{k}", f"e{k + 1}") for k in range(60)]
     pick.shuffle(links)
     rows = spark.createDataFrame([(*x, 1) for x in links + links[:20]] or [], "parent string, child string, node int").repartition(3)
     want, paths = brute(links)
-    assert {tuple(r) for r in H.hierarchies(rows).collect()} == want
-    assert {r["node_key"]: r["path"] for r in H.paths(rows).collect()} == paths
+    assert {tuple(r) for r in H.hierarchies(rows, local).collect()} == want
+    assert {r["node_key"]: r["path"] for r in H.paths(rows, local).collect()} == paths
+    pairs = [tuple(r) for r in H.descendants(rows, local).collect()]
+    below = Counter(a for a, _ in pairs)
+    assert len(pairs) == len(set(pairs)) and {n: below[n] for n, *_ in want} == {n: d for n, _, _, d, _ in want} and all(a != b for a, b in pairs)
 
 
 def test_chain_star_and_empty(spark):
@@ -48,6 +55,13 @@ def test_chain_star_and_empty(spark):
     assert H.hierarchies(spark.createDataFrame([], "parent string, child string")).count() == 0
 
 
+def test_hot_parent_is_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT_LEAST", 10)
+    links = [("hub", f"s{k}") for k in range(400)] + [("top", "hub")] + [(f"s{k}", f"t{k}") for k in range(50)]
+    got = {tuple(r) for r in H.hierarchies(spark.createDataFrame(links, "parent string, child string"), 30).collect()}
+    assert got == brute(links)[0]
+
+
 def test_column_links_leave_out_unusable_rows(spark):
     rows = spark.createDataFrame([(" A ", "x", "b", "Y "), ("a", "X", "B", "y"), ("a", "*", "b", "y"), (None, "x", "b", "y"), ("a", " ", "b", "y"), ("a", "x", "A", "X")], "st string, sc string, tt string, tc string")
     assert {tuple(r) for r in H.column_links(rows, ("st", "sc"), ("tt", "tc")).collect()} == {("a.x", "b.y")}

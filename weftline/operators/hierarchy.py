@@ -1,36 +1,49 @@
 """Parent-child links to full hierarchies: roots, depths, paths, descendants and loops.
 
 Every node has one parent at most, so the links form trees and, where they run in a circle, loops
-with trees below them. Steps:
-
-  1. Each partition of the links joins its own rows in a weighted disjoint-set forest and gives, for
-     each child, the topmost node that it can reach inside the partition and the number of links to
-     it. A link that would close a circle inside the partition is kept as such.
-  2. What is left to know are the few nodes that end a local forest but have a parent elsewhere.
-     Their links are merged hierarchically: every round composes each link with that of its end, so
-     spans double and a chain over n forests takes log2(n) rounds. A round that finishes no node
-     proves that all the rest lead into loops.
-  3. Nodes on loops are what remains of the unfinished nodes when all of them are moved up far
-     enough: the set of places reached stops shrinking once it is the loops themselves.
-  4. Descendants are counted without listing pairs: the count within 2d links is the count within d
-     links plus those of all nodes exactly d links below. Paths are built by the same doubling.
-
-All rounds are hash joins and map-side combined sums on node keys, cut by reliable checkpoints; no
-tree, loop or node list is ever gathered in one task or in the driver, and a parent with a third of
-all nodes only meets sums that were combined before the shuffle.
+with trees below them. The method is a weighted disjoint-set forest that is merged level by level:
+
+  1. Links are put on the partition of their child. Each partition joins its own links in a weighted
+     disjoint-set forest: a node without children below it is united with its parent, as far up as
+     the partition holds the links, and keeps the number of links to it, its offset.
+  2. A node that was united leaves the links; its parent in another partition gets the sums of what
+     was united with it, added up in the partition first, so that a parent with a third of all nodes
+     receives one row from each task. A node with a single child may be bridged: its child then
+     hangs on the node above, at the added offset. A node is bridged if its coin of this level shows
+     heads and that of its parent tails, so no two neighbours are bridged at once.
+  3. Each level leaves a fraction of the links of the one before, so all levels together shuffle a
+     small multiple of the links. The number of partitions falls with the links; what LOCAL rows can
+     hold is finished in one forest, in which the links that close a circle give the loops.
+  4. Offsets are then resolved from the last level back to the first: the root and depth of a node
+     are those of the node it was united with, moved by the offset, and paths are materialised by
+     the same traversal. Each level is one join on the node united with. Nodes with which much of a
+     task was united are joined by broadcast, HOT of them at most, so no task receives them.
+
+Levels are cut by reliable checkpoints. No tree, loop or list of nodes is gathered in one task beyond
+LOCAL rows, or in the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import name_key
 from weftline.session import checkpointed
 
+#: Rows that one local forest holds at most, apart from the spread of hashing.
+LOCAL = 200_000
+#: Nodes joined by broadcast at most in a level, and the part of a task's rows that makes one of them.
+HOT, HOT_SHARE, HOT_LEAST = 1_000, 0.01, 500
+
+_STATE = "mark string, node string, up string, far long, under long, hidden long, mid array<string>, kids long, kid string, kind string"
+_COLUMNS = ["mark", "node", "up", "far", "under", "hidden", "mid", "kids", "kid", "kind"]
+
 
 def column_links(links: DataFrame, parent: tuple[str, str], child: tuple[str, str]) -> DataFrame:
     """Links between columns as (parent, child) node keys, table + '.' + column.
@@ -46,134 +59,220 @@ def column_links(links: DataFrame, parent: tuple[str, str], child: tuple[str, st
     return links.where(usable).select(node(parent).alias("parent"), node(child).alias("child")).where("parent <> child")
 
 
-def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each child of this partition the top of its local tree and the links to it.
+class _Node:
+    """A node of a local forest that isn't united yet.
+
+    far links lead to up, over the nodes mid; hidden nodes hang on the way there and under below the
+    node itself, all of them already united. kids counts its children that are not.
+    """
+
+    __slots__ = ("up", "far", "under", "hidden", "mid", "kids", "kid")
+
+    def __init__(self, up: str | None, far: int, under: int, hidden: int, mid: list[str]) -> None:
+        self.up, self.far, self.under, self.hidden, self.mid = up, far, under, hidden, mid
+        self.kids, self.kid = 0, ""
+
+
+def _coin(node: str, level: int) -> bool:
+    return bool(blake2b(f"{level} {node}".encode(), digest_size=1).digest()[0] & 1)
+
 
-    A weighted disjoint-set forest: up[n] is a node nearer to the top and far[n] the links to it. A
-    child whose link closes a circle keeps itself as its top, with the links around.
+def _forest(level: int, bridge: bool, last: bool, named: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The work of one partition in one level.
+
+    Rows come in and go out by mark: 'self' is a node, 'kid' tells node of children, 'sum' brings what
+    was united with node, 'over' gives node a new parent. Out only: 'under' is a node united with up at
+    the offset far, 'above' a bridged node which its child up resolves, 'top' a root or a node on a
+    loop (up is then the root or the loop's least node), 'hot' a node that much was united with.
     """
-    number: dict[str, int] = {}
-    names: list[str] = []
-    up: list[int] = []
-    far: list[int] = []
-    linked: set[int] = set()
-    rings: dict[int, int] = {}
-
-    def node(name: str) -> int:
-        at = number.setdefault(name, len(up))
-        if at == len(up):
-            up.append(at)
-            far.append(0)
-            names.append(name)
-        return at
-
-    def top(n: int) -> tuple[int, int]:
-        trail = []
-        while up[n] != n:
-            trail.append(n)
-            n = up[n]
-        steps = 0
-        for x in reversed(trail):  # from the nearest to the top downwards
-            steps += far[x]
-            up[x], far[x] = n, steps
-        return n, steps
-
-    for frame in frames:
-        for parent, child in zip(frame["parent"], frame["child"], strict=True):
-            c, p = node(child), node(parent)
-            if c in linked:
-                continue
-            linked.add(c)
-            root, steps = top(p)
-            if root == c:
-                rings[c] = steps + 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, _Node] = {}
+        sums: Counter[str] = Counter()
+        kids: dict[str, tuple[int, str]] = {}
+        over: dict[str, tuple] = {}
+        out: list[tuple] = []
+        for frame in frames:
+            for mark, node, up, far, under, hidden, mid, n, kid, _ in frame.itertuples(index=False):
+                if mark == "self":
+                    own[node] = _Node(up, far, under, hidden, list(mid) if mid is not None else [])
+                elif mark == "sum":
+                    sums[node] += under
+                elif mark == "kid":
+                    had = kids.get(node)
+                    kids[node] = (n, kid) if had is None else (had[0] + n, kid)
+                else:
+                    over[node] = (up, far, under, hidden, list(mid) if mid is not None else [], kid)
+
+        for node, x in own.items():
+            x.under += sums.get(node, 0)
+            x.kids, x.kid = kids.get(node, (0, ""))
+            if node in over:
+                up, far, added, hidden, mid, bridged = over[node]
+                out.append(("above", bridged, node, x.far, added + 1 + x.hidden, 0, None, 0, "", ""))
+                x.up, x.far, x.hidden, x.mid = up, x.far + far, x.hidden + 1 + added + hidden, mid + ([bridged] if named else []) + x.mid
+
+        def finish(ring: list[str]) -> None:
+            """Roots, or the nodes of a loop in order from each to its parent."""
+            whole = sum(1 + own[n].under + own[n].hidden for n in ring) - 1
+            least = min((m for n in ring for m in (n, *own[n].mid)), default="") if named else ""
+            for n in ring:
+                out.append(("top", n, least, 0, whole, 0, None, 0, "", "cycle"))
+                del own[n]
+
+        # Unite nodes without children with their parents, as far as this partition reaches
+        united: dict[str, tuple[str, int, list[str], int]] = {}
+        order: list[str] = []
+        given: Counter[str] = Counter()
+        if not bridge:
+            queue = [n for n, x in own.items() if not x.kids and x.up is not None]
+            while queue:
+                node = queue.pop()
+                x = own.pop(node)
+                united[node] = (x.up, x.far, x.mid, x.under)
+                order.append(node)
+                parent = own.get(x.up)
+                if parent is None:
+                    given[x.up] += 1 + x.under + x.hidden
+                else:
+                    parent.under += 1 + x.under + x.hidden
+                    parent.kids -= 1
+                    if not parent.kids and parent.up is not None:
+                        queue.append(x.up)
+        for node in reversed(order):  # parents come before their children
+            up, far, mid, under = united[node]
+            if up in united:
+                above = united[up]
+                united[node] = (above[0], above[1] + far, above[2] + ([up] if named else []) + mid, under)
+        met: Counter[str] = Counter()
+        for node, (up, far, mid, under) in united.items():
+            met[up] += 1
+            out.append(("under", node, up, far, under, 0, mid if named else None, 0, "", ""))
+        floor = max(HOT_LEAST, HOT_SHARE * len(united))
+        out += [("hot", up, None, 0, n, 0, None, 0, "", "") for up, n in met.items() if n >= floor]
+
+        # Roots that have all in place, and loops that are down to one node
+        for node in [n for n, x in own.items() if not x.kids and x.up is None]:
+            out.append(("top", node, node, 0, own[node].under, 0, None, 0, "", "tree"))
+            del own[node]
+        for node in [n for n, x in own.items() if x.up == n and x.kids == 1]:
+            finish([node])
+        if last:  # all links are here, so what is left are loops
+            while own:
+                ring = [next(iter(own))]
+                while own[ring[-1]].up != ring[0]:
+                    ring.append(own[ring[-1]].up)
+                finish(ring)
+
+        told: dict[str, tuple[int, str]] = {}
+
+        def tell(parent: str, kid: str) -> None:
+            told[parent] = (told.get(parent, (0, ""))[0] + 1, kid)
+
+        for node, x in own.items():
+            if bridge and x.kids == 1 and x.up is not None and x.kid != node and x.up != node and _coin(node, level) and not _coin(x.up, level):
+                out.append(("over", x.kid, x.up, x.far, x.under, x.hidden, x.mid if named else None, 0, node, ""))
+                tell(x.up, x.kid)
             else:
-                up[c], far[c] = root, steps + 1
-    rows = []
-    for c in linked:
-        root, steps = (c, rings[c]) if c in rings else top(c)
-        rows.append((names[c], names[root], steps))
-    yield pd.DataFrame(rows, columns=["node", "up", "far"])
-
-
-def _alone(links: DataFrame) -> DataFrame:
-    """One link for each child; of unlike parents the smallest key counts."""
-    return links.groupBy("child").agg(F.min("parent").alias("parent"))
-
-
-def _nodes(links: DataFrame) -> DataFrame:
-    """(node, up) of all nodes of links; up is the parent, null at the top."""
-    above = links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("up"))
-    return links.select(F.col("child").alias("node"), F.col("parent").alias("up")).union(above).groupBy("node").agg(F.max("up").alias("up"))
-
-
-def _tops(links: DataFrame) -> DataFrame:
-    """(node, top, far, done) of each child; done is false for nodes that lead into a loop."""
-    spans = checkpointed(links.mapInPandas(_local_forest, "node string, up string, far long"))
-    ends = spans.select(F.col("up").alias("node")).distinct()
-    rest = checkpointed(spans.join(ends, "node", "left_semi").withColumn("done", F.lit(False)))
-    left = rest.count()
-    while left:
-        onward = rest.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
-        rest = checkpointed(
-            rest.join(onward, "up", "left").select(
-                "node",
-                F.coalesce("up2", "up").alias("up"),
-                # A loop's length would double each round and means nothing
-                F.when(F.col("up2") == F.col("up"), F.col("far")).otherwise(F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
-                (F.col("done") | F.coalesce("done2", F.lit(True))).alias("done"),
-            )
-        )
-        still = rest.where(~F.col("done")).count()
-        if still == left:
-            break
-        left = still
-    onward = rest.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), "done")
-    return spans.join(onward, "up", "left").select(
-        "node",
-        F.coalesce("up2", "up").alias("top"),
-        (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
-        F.coalesce("done", F.lit(True)).alias("done"),
+                out.append(("self", node, x.up, x.far, x.under, x.hidden, x.mid if named else None, 0, "", ""))
+                if x.up is not None:
+                    tell(x.up, node)
+        out += [("sum", up, None, 0, n, 0, None, 0, "", "") for up, n in given.items()]
+        out += [("kid", up, None, 0, 0, 0, None, n, kid, "") for up, (n, kid) in told.items()]
+        for k in range(0, len(out), 50_000):
+            yield pd.DataFrame(out[k : k + 50_000], columns=_COLUMNS)
+
+    return run
+
+
+def _first_level(links: DataFrame) -> DataFrame:
+    """The nodes of links as states, each with its parent; of unlike parents the smallest counts.
+
+    Ends are combined before the shuffle, so a parent with very many children is one row a task.
+    """
+    nothing = F.lit(None).cast("string")
+    ends = links.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(0).alias("n")).union(
+        links.select(F.col("parent").alias("node"), nothing.alias("up"), F.lit(1).alias("n"))
     )
+    return ends.groupBy("node").agg(F.min("up").alias("up"), F.max("n").alias("n"))
 
 
-def _loops(links: DataFrame, lost: DataFrame) -> DataFrame:
-    """(node, loop) of the nodes on loops; loop is the smallest key on the loop.
+def _expanded(spans: DataFrame, known: DataFrame, named: bool, mark: str) -> DataFrame:
+    """(node, top, depth, n_desc, kind, path) of the nodes that spans of a mark resolve by known ones."""
+    rows = spans.where(F.col("mark") == mark).select("mark", "node", F.col("up").alias("ref"), "far", F.col("under").alias("more"), "mid")
+    other = known.select(F.col("node").alias("ref"), "top", "depth", "n_desc", "kind", "path")
+    if mark == "under" and spans.where("mark = 'hot'").take(1):
+        hot = spans.where("mark = 'hot'").groupBy("node").agg(F.sum("under").alias("n")).orderBy(F.desc("n"), "node").limit(HOT).select(F.col("node").alias("ref"))
+        few = F.broadcast(hot)  # HOT rows at most, by its limit
+        joined = rows.join(few, "ref", "left_anti").join(other, "ref").unionByName(rows.join(F.broadcast(other.join(few, "ref", "left_semi")), "ref"))
+    else:
+        joined = rows.join(other, "ref")
+    below = F.col("mark") == "under"
+    ring = F.col("kind") == "cycle"
+    kind = F.when(below & ring, F.lit("below")).otherwise(F.col("kind"))
+    depth = F.when(F.col("kind") != "tree", F.lit(-1).cast("long")).when(below, F.col("depth") + F.col("far")).otherwise(F.col("depth") - F.col("far"))
+    n_desc = F.when(below, F.col("more")).when(ring, F.col("n_desc")).otherwise(F.col("n_desc") + F.col("more"))
+    if named:
+        path = (
+            F.when(below, F.concat(F.col("path"), F.coalesce("mid", F.array().cast("array<string>")), F.array("node")))
+            .when(ring, F.array("node")).otherwise(F.slice("path", 1, (F.size("path") - F.col("far")).cast("int")))
+        )
+    else:
+        path = F.lit(None).cast("array<string>")
+    return joined.select("node", "top", depth.alias("depth"), n_desc.alias("n_desc"), kind.alias("kind"), path.alias("path"))
+
+
+def resolved(links: DataFrame, named: bool = False, local: int | None = None) -> DataFrame:
+    """(node, top, depth, n_desc, kind, path) of each node of links (parent, child).
 
-    lost has the nodes that lead into loops. Their places after d links, d doubling, shrink to the
-    loops; all nodes of a loop stay reached, as each is d links above some other.
+    top is the root; of nodes that lead into a loop it is the loop's least node, and depth is -1.
+    path, only with named, has the nodes from the root, or from the place where a loop is left, down
+    to the node. n_desc counts the other nodes that can be reached.
     """
-    jump = checkpointed(links.join(lost, links["child"] == lost["node"], "left_semi").select(F.col("child").alias("node"), F.col("parent").alias("up")))
-    steps, before, size = jump, -1, jump.count()
-    while size != before:
-        before = size
-        steps = checkpointed(steps.join(steps.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")))
-        size = steps.select("up").distinct().count()
-    ring = steps.select(F.col("up").alias("node")).distinct()
-    least = checkpointed(jump.join(ring, "node", "left_semi").withColumn("loop", F.least("node", "up")))
+    most = LOCAL if local is None else local
+    usable = links.where("parent is not null and child is not null and parent <> child").select("parent", "child")
+    first = _first_level(usable)
+    empty = F.lit(None).cast("array<string>")
+    zero = F.lit(0).cast("long")
+    # A node that some link names as parent has children, at least by this first account
+    state = first.select(F.lit("self").alias("mark"), "node", "up", F.lit(1).cast("long").alias("far"), zero.alias("under"), zero.alias("hidden"), empty.alias("mid"), zero.alias("kids"), F.lit("").alias("kid"), F.lit("").alias("kind"), "n")
+    told = F.when(F.col("n") > 0, F.struct(F.lit("kid").alias("mark"), "node", F.lit(None).cast("string").alias("up"), zero.alias("far"), zero.alias("under"), zero.alias("hidden"), empty.alias("mid"), F.lit(1_000_000).cast("long").alias("kids"), F.lit("").alias("kid"), F.lit("").alias("kind")))
+    rows = state.select(F.inline(F.array_compact(F.array(F.struct(*_COLUMNS), told))))
+    levels: list[DataFrame] = []
+    level = 0
     while True:
-        onward = least.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("loop").alias("loop2"))
-        least = checkpointed(
-            least.join(onward, "up").select("node", F.col("up2").alias("up"), F.least("loop", "loop2").alias("loop"), (F.col("loop2") < F.col("loop")).alias("moved"))
-        )
-        if not least.where("moved").take(1):
-            return least.select("node", "loop")
-        least = least.drop("moved")
-
-
-def _below(forest: DataFrame) -> DataFrame:
-    """(node, below) of a forest given as (node, up), up null at the top: the nodes under it."""
-    state = checkpointed(forest.select("node", "up", F.lit(1).cast("long").alias("size")))
-    while state.where("up is not null").take(1):
-        added = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        onward = state.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        state = checkpointed(
-            state.join(onward, "up", "left").join(added, "node", "left").select("node", F.col("up2").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        # The first level is still distributed as its aggregation left it; the number of rows is known afterwards
+        count = None if level == 0 else rows.where("mark = 'self'").count()
+        if count == 0:
+            break
+        last = count is not None and count <= most
+        # Every second level bridges; the first and the last only unite
+        bridge = not last and level % 2 == 1
+        if level:
+            rows = rows.where("mark in ('self', 'kid', 'sum', 'over')").repartition(1 if last else -(-count // most), "node")
+        done = checkpointed(rows.mapInPandas(_forest(level, bridge, last, named), _STATE))
+        levels.append(done)
+        rows, level = done, level + 1
+        if last:
+            break
+    known = None
+    for at in range(len(levels) - 1, -1, -1):
+        done = levels[at]
+        tops = done.where("mark = 'top'").select(
+            "node", F.when(F.lit(named) | (F.col("kind") == "tree"), F.col("up")).alias("top"), F.when(F.col("kind") == "tree", zero).otherwise(F.lit(-1).cast("long")).alias("depth"),
+            F.col("under").alias("n_desc"), "kind", (F.array("node") if named else empty).alias("path"),
         )
-    return state.select("node", (F.col("size") - 1).alias("below"))
+        whole = tops if known is None else known.union(tops)
+        known = whole.union(_expanded(done, whole, named, "under"))
+        if at >= 2 and at % 2 == 0:  # nodes bridged in the level before hang on children that may be united in this one
+            known = checkpointed(known)
+            known = known.union(_expanded(done, known, named, "above"))
+        if at:
+            known = checkpointed(known)
+    return known
 
 
-def hierarchies(links: DataFrame) -> DataFrame:
+def hierarchies(links: DataFrame, local: int | None = None) -> DataFrame:
     """One row for each node of links (parent, child): its root, depth, descendants and kind.
 
     Returns node_key, root_node, node_depth, n_desc and node_kind: 'tree' with the topmost node and
@@ -184,46 +283,30 @@ def hierarchies(links: DataFrame) -> DataFrame:
     smallest key counts; rows with a null end or from a node to itself are ignored; no links give
     no rows; other columns are ignored.
     """
-    usable = links.where("parent is not null and child is not null and parent <> child").select("parent", "child")
-    single = checkpointed(_alone(usable))
-    tops = checkpointed(_tops(single))
-    nodes = _nodes(single)
-    lost = tops.where(~F.col("done")).select("node")
-    if lost.take(1):
-        loops = _loops(single, lost)
-        cut = nodes.join(loops, "node", "left").select("node", F.when(F.col("loop").isNull(), F.col("up")).alias("up"), "loop")
-    else:
-        cut = nodes.withColumn("loop", F.lit(None).cast("string"))
-    cut = checkpointed(cut)
-    below = _below(cut.select("node", "up"))
-    whole = cut.join(below, "node")
-    reach = whole.where("loop is not null").groupBy("loop").agg((F.sum(F.col("below") + 1) - 1).alias("around"))
-    full = whole.join(reach, "loop", "left").join(tops, "node", "left")
-    kind = F.when(F.col("loop").isNotNull(), "cycle").when(F.coalesce("done", F.lit(True)), "tree").otherwise("below")
-    tree: Column = kind == "tree"
-    return full.select(
-        F.col("node").alias("node_key"),
-        F.when(tree, F.coalesce("top", "node")).otherwise("").alias("root_node"),
-        F.when(tree, F.coalesce("far", F.lit(0))).otherwise(-1).cast("long").alias("node_depth"),
-        F.coalesce("around", "below").cast("long").alias("n_desc"),
-        kind.alias("node_kind"),
+    tree = F.col("kind") == "tree"
+    return resolved(links, False, local).select(
+        F.col("node").alias("node_key"), F.when(tree, F.col("top")).otherwise("").alias("root_node"), F.col("depth").alias("node_depth"), "n_desc", F.col("kind").alias("node_kind")
     )
 
 
-def paths(links: DataFrame) -> DataFrame:
+def paths(links: DataFrame, local: int | None = None) -> DataFrame:
     """(node_key, path) with the nodes from the root down to the node, of all nodes in trees.
 
-    Materialised by indexed parent traversal with doubling: the path over 2d links is that over d
-    links after the path of the node d links above. Nodes on or below loops have no path and are
-    left out. A path's length is its output; nothing longer is made on the way.
+    Nodes on or below loops have no path and are left out. A path's length is its output; nothing
+    longer is made on the way.
     """
-    usable = links.where("parent is not null and child is not null and parent <> child").select("parent", "child")
-    single = checkpointed(_alone(usable))
-    lost = checkpointed(_tops(single).where(~F.col("done")).select("node"))
-    state = checkpointed(_nodes(single).join(lost, "node", "left_anti").select("node", "up", F.array("node").alias("path")))
-    while state.where("up is not null").take(1):
-        onward = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        state = checkpointed(
-            state.join(onward, "up", "left").select("node", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.array().cast("array<string>")), "path").alias("path"))
-        )
-    return state.select(F.col("node").alias("node_key"), "path")
+    return resolved(links, True, local).where("kind = 'tree'").select(F.col("node").alias("node_key"), "path")
+
+
+def descendants(links: DataFrame, local: int | None = None) -> DataFrame:
+    """(node_key, descendant) for each node and each other node that can be reached from it.
+
+    Rows are made from the descendants' side, by unfolding their paths, so the descendants of a node
+    are spread as the nodes are and never form a group. What hangs on a loop is reached from all of
+    the loop, by a join on the loop. Cases: as in hierarchies.
+    """
+    found = checkpointed(resolved(links, True, local))
+    above = found.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_key"), F.col("node").alias("descendant"))
+    ring = found.where("kind = 'cycle'").select("top", F.col("node").alias("node_key"))
+    loose = found.where("kind <> 'tree'").select("top", F.col("path")[0].alias("entry"), F.col("node").alias("descendant"))
+    return above.union(loose.join(ring, "top").where("node_key <> entry").select("node_key", "descendant"))

@@ -56,6 +56,11 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.paths(_links(spark, sf_dir)).select("node_key", F.array_join("path", " > ").alias("full_path"))
 
 
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column with each other column that is derived from it."""
+    return hierarchy.descendants(_links(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target columns added, removed or changed against the snapshot before."""
     return snapshots.snapshot_changes(
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_ledger": p2_ledger,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
+    "p3_descendants": p3_descendants,
     "p5_found": p5_found,
 }
 
@@ -124,6 +130,11 @@ WITH RECURSIVE {_LINKS}, nodes AS (SELECT parent AS node FROM links UNION SELECT
   UNION ALL SELECT l.child, w.path || ' > ' || l.child FROM walk w JOIN links l ON l.parent = w.node
 )
 SELECT node AS node_key, path AS full_path FROM walk""",
+    "p3_descendants": f"""
+WITH RECURSIVE {_LINKS}, reach(top, node) AS (
+  SELECT parent, child FROM links UNION SELECT r.top, l.child FROM reach r JOIN links l ON l.parent = r.node
+)
+SELECT top AS node_key, node AS descendant FROM reach WHERE top <> node""",
     "p5_found": """
 WITH counted AS (
   SELECT snapshot_date, package_id, lower(trim(target_table)) AS target_table, lower(trim(target_column_name)) AS target_column_name,

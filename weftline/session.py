@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("WEFTLINE_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("weftline")
     for key, value in settings.items():
@@ -55,14 +56,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     spark.checkpoint.dir names the folder. Only a local master may go without that setting; it
     then gets a temporary folder. On a cluster a missing setting is an error, as a folder of one
-    machine would not survive it.
+    machine would not survive it. Spark deletes a checkpoint that nothing refers to any more where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as local_session does.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared:
-            if not context.master.startswith("local["):
+            if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
         context.setCheckpointDir(shared)
