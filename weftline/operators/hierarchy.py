@@ -41,7 +41,8 @@ LOCAL = 200_000
 #: Nodes joined by broadcast at most in a level, and the part of a task's rows that makes one of them.
 HOT, HOT_SHARE, HOT_LEAST = 1_000, 0.01, 500
 
-_STATE = "mark string, node string, up string, far long, under long, hidden long, mid array<string>, kids long, kid string, kind string"
+#: Rows between levels; mid is only filled, and only then a list, where names are wanted.
+_STATE = "mark string, node string, up string, far long, under long, hidden long, mid {}, kids long, kid string, kind string"
 _COLUMNS = ["mark", "node", "up", "far", "under", "hidden", "mid", "kids", "kid", "kind"]
 
 
@@ -80,8 +81,8 @@ def _coin(node: str, level: int) -> bool:
 def _forest(level: int, bridge: bool, last: bool, named: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The work of one partition in one level.
 
-    Rows come in and go out by mark: 'self' is a node, 'kid' tells node of children, 'sum' brings what
-    was united with node, 'over' gives node a new parent. Out only: 'under' is a node united with up at
+    Rows come in and go out by mark: 'self' is a node, 'kid' tells node of its children and brings what
+    was united with it, 'over' gives node a new parent. Out only: 'under' is a node united with up at
     the offset far, 'above' a bridged node which its child up resolves, 'top' a root or a node on a
     loop (up is then the root or the loop's least node), 'hot' a node that much was united with.
     """
@@ -95,18 +96,21 @@ def _forest(level: int, bridge: bool, last: bool, named: bool) -> Callable[[Iter
         for frame in frames:
             for mark, node, up, far, under, hidden, mid, n, kid, _ in frame.itertuples(index=False):
                 if mark == "self":
-                    own[node] = _Node(up, far, under, hidden, list(mid) if mid is not None else [])
-                elif mark == "sum":
-                    sums[node] += under
+                    x = own[node] = _Node(up, far, under, hidden, list(mid) if mid is not None else [])
+                    x.kids = n
                 elif mark == "kid":
-                    had = kids.get(node)
-                    kids[node] = (n, kid) if had is None else (had[0] + n, kid)
+                    if under:
+                        sums[node] += under
+                    if n:
+                        had = kids.get(node)
+                        kids[node] = (n, kid) if had is None else (had[0] + n, kid)
                 else:
                     over[node] = (up, far, under, hidden, list(mid) if mid is not None else [], kid)
 
         for node, x in own.items():
             x.under += sums.get(node, 0)
-            x.kids, x.kid = kids.get(node, (0, ""))
+            n, x.kid = kids.get(node, (0, ""))
+            x.kids += n
             if node in over:
                 up, far, added, hidden, mid, bridged = over[node]
                 out.append(("above", bridged, node, x.far, added + 1 + x.hidden, 0, None, 0, "", ""))
@@ -177,8 +181,8 @@ def _forest(level: int, bridge: bool, last: bool, named: bool) -> Callable[[Iter
                 out.append(("self", node, x.up, x.far, x.under, x.hidden, x.mid if named else None, 0, "", ""))
                 if x.up is not None:
                     tell(x.up, node)
-        out += [("sum", up, None, 0, n, 0, None, 0, "", "") for up, n in given.items()]
-        out += [("kid", up, None, 0, 0, 0, None, n, kid, "") for up, (n, kid) in told.items()]
+        out += [("kid", up, None, 0, given.pop(up, 0), 0, None, n, kid, "") for up, (n, kid) in told.items()]
+        out += [("kid", up, None, 0, n, 0, None, 0, "", "") for up, n in given.items()]
         for k in range(0, len(out), 50_000):
             yield pd.DataFrame(out[k : k + 50_000], columns=_COLUMNS)
 
@@ -233,11 +237,13 @@ def resolved(links: DataFrame, named: bool = False, local: int | None = None) ->
     usable = links.where("parent is not null and child is not null and parent <> child").select("parent", "child")
     first = _first_level(usable)
     empty = F.lit(None).cast("array<string>")
+    listed = "array<string>" if named else "string"
     zero = F.lit(0).cast("long")
-    # A node that some link names as parent has children, at least by this first account
-    state = first.select(F.lit("self").alias("mark"), "node", "up", F.lit(1).cast("long").alias("far"), zero.alias("under"), zero.alias("hidden"), empty.alias("mid"), zero.alias("kids"), F.lit("").alias("kid"), F.lit("").alias("kind"), "n")
-    told = F.when(F.col("n") > 0, F.struct(F.lit("kid").alias("mark"), "node", F.lit(None).cast("string").alias("up"), zero.alias("far"), zero.alias("under"), zero.alias("hidden"), empty.alias("mid"), F.lit(1_000_000).cast("long").alias("kids"), F.lit("").alias("kid"), F.lit("").alias("kind")))
-    rows = state.select(F.inline(F.array_compact(F.array(F.struct(*_COLUMNS), told))))
+    # A node that some link names as parent is taken to have children, more than can be united here
+    rows = first.select(
+        F.lit("self").alias("mark"), "node", "up", F.lit(1).cast("long").alias("far"), zero.alias("under"), zero.alias("hidden"), F.lit(None).cast(listed).alias("mid"),
+        (F.col("n") * F.lit(1 << 40)).alias("kids"), F.lit("").alias("kid"), F.lit("").alias("kind"),
+    )
     levels: list[DataFrame] = []
     level = 0
     while True:
@@ -249,8 +255,8 @@ def resolved(links: DataFrame, named: bool = False, local: int | None = None) ->
         # Every second level bridges; the first and the last only unite
         bridge = not last and level % 2 == 1
         if level:
-            rows = rows.where("mark in ('self', 'kid', 'sum', 'over')").repartition(1 if last else -(-count // most), "node")
-        done = checkpointed(rows.mapInPandas(_forest(level, bridge, last, named), _STATE))
+            rows = rows.where("mark in ('self', 'kid', 'over')").repartition(1 if last else -(-count // most), "node")
+        done = checkpointed(rows.mapInPandas(_forest(level, bridge, last, named), _STATE.format(listed)))
         levels.append(done)
         rows, level = done, level + 1
         if last:
