@@ -41,7 +41,14 @@ def _durations(maps: DataFrame) -> DataFrame:
 
 def _finish(maps: DataFrame) -> DataFrame:
     tasks, components, edges = _tasks(maps)
-    return S.finish_times(S.durations(tasks, components), edges)
+    return S.finish_times(S.durations(tasks, components), edges).drop("before")
+
+
+def _critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of the longest path in order."""
+    tasks, components, edges = _tasks(L.derived_maps(spark, sf_dir))
+    path = S.critical_path(S.durations(tasks, components), edges)["path"]
+    return spark.createDataFrame(list(enumerate(path, 1)), "place long, task_id string")
 
 
 def _diff(maps: DataFrame) -> DataFrame:
@@ -175,6 +182,7 @@ QUERIES: dict[str, Query] = {
     "tsql_lineage_records": _scripts,
     "task_duration_estimates": _on(_durations),
     "critical_path_distances": _on(_finish),
+    "critical_path": _critical_path,
     "candidate_table_resolution": _candidates,
     "linked_server_rewrite": _linked,
     "operation_labels": _real_operations,
@@ -201,10 +209,10 @@ def _trace(seed: str, down: bool, rank: bool = True) -> str:
  reached(n, k) AS (SELECT n, k FROM known WHERE {seed} UNION SELECT h.{far}n, h.{far}k FROM reached r JOIN hops h ON h.{near}n = r.n AND h.{near}k = r.k),
  used AS (SELECT e.* FROM edges e JOIN reached r ON r.n = e.{near}n AND r.k = e.{near}k
   UNION SELECT b.sn, '*', b.tn, '*' FROM bridge b JOIN reached r ON r.n = b.{near}n AND r.k = b.{near}k),
- pairs AS (SELECT DISTINCT sn, tn FROM used WHERE sn <> tn),
- depth(n, d) AS (SELECT sn, 0 FROM pairs UNION SELECT p.tn, d + 1 FROM depth JOIN pairs p ON p.sn = depth.n),
+ pairs AS (SELECT DISTINCT sn || '|' || sk AS s, tn || '|' || tk AS t FROM used),
+ depth(n, d) AS (SELECT s, 0 FROM pairs UNION SELECT p.t, d + 1 FROM depth JOIN pairs p ON p.s = depth.n),
  ranks AS (SELECT n, max(d) AS d FROM depth GROUP BY n)
-SELECT u.sn AS source_node, u.sk AS source_column, u.tn AS target_node, u.tk AS target_column{", CAST(r.d AS INTEGER) AS step_rank" if rank else ""} FROM used u JOIN ranks r ON r.n = u.sn"""
+SELECT u.sn AS source_node, u.sk AS source_column, u.tn AS target_node, u.tk AS target_column{", CAST(r.d AS INTEGER) AS step_rank" if rank else ""} FROM used u JOIN ranks r ON r.n = u.sn || '|' || u.sk"""
 
 
 _STEPS = f"""WITH RECURSIVE {_M}, pairs AS (SELECT DISTINCT source_schema || '.' || source_table AS s, target_schema || '.' || target_table AS t FROM maps),
@@ -296,6 +304,11 @@ SELECT kind, 'added' AS change, key FROM (SELECT * FROM b EXCEPT SELECT * FROM a
 UNION ALL SELECT 'INSERT', 'C', 'v', 'dw', 'Fact_' || o_orderstatus, 'v', 'c.v * 2', count(*) FROM orders GROUP BY ALL""",
     "task_duration_estimates": f"WITH {_TASKS} SELECT task_id, package_id, seconds, CASE WHEN seconds >= 300 THEN 'High' WHEN seconds >= 120 THEN 'Medium' ELSE 'Low' END AS level, reason FROM timed",
     "critical_path_distances": f"WITH RECURSIVE {_TASKS}, walk(task_id, package_id, k, seconds, finish) AS (SELECT task_id, package_id, k, seconds, seconds FROM timed UNION SELECT t.task_id, t.package_id, t.k, t.seconds, w.finish + t.seconds FROM walk w JOIN timed t ON t.package_id = w.package_id AND t.k = w.k + 1) SELECT task_id, seconds, max(finish) AS finish FROM walk GROUP BY 1, 2",
+    "critical_path": f"""WITH RECURSIVE {_TASKS}, walk(task_id, package_id, k, seconds, finish) AS (SELECT task_id, package_id, k, seconds, seconds FROM timed UNION SELECT t.task_id, t.package_id, t.k, t.seconds, w.finish + t.seconds FROM walk w JOIN timed t ON t.package_id = w.package_id AND t.k = w.k + 1) 
+, ends AS (SELECT task_id, package_id, k, max(finish) AS finish FROM walk GROUP BY ALL),
+ back(task_id, package_id, k, finish) AS (SELECT * FROM (SELECT * FROM ends ORDER BY finish DESC, task_id LIMIT 1)
+  UNION ALL SELECT e.task_id, e.package_id, e.k, e.finish FROM back b JOIN ends e ON e.package_id = b.package_id AND e.k = b.k - 1)
+SELECT row_number() OVER (ORDER BY finish) AS place, task_id FROM back""",
     "candidate_table_resolution": """WITH lists AS (SELECT DISTINCT source_table, source_column_name AS source_column FROM column_map WHERE source_table LIKE '%|%'),
  owned AS (SELECT DISTINCT lower(trim(source_table)) AS t, lower(trim(source_column_name)) AS c FROM column_map WHERE source_table NOT LIKE '%|%'),
  parts AS (SELECT source_table, source_column, unnest(string_split_regex(source_table, '\\s*\\|\\s*')) AS candidate FROM lists),

@@ -5,8 +5,6 @@ the columns of MAP; an empty text is the null marker, names are compared without
 keys are lower-case texts so that joins and groups are plain equalities.
 
 Many maps share an edge, so every fixpoint starts from distinct edges and joins back to maps once.
-Loops cut their lineage by reliable checkpoints; a round is one join, and there are as many rounds as
-the graph is deep.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import graphs
 from weftline.session import checkpointed
 
 MAP = ["package_id", "task_id", "source_schema", "source_table", "source_column", "target_schema", "target_table", "target_column", "operation_type"]
@@ -116,61 +115,13 @@ def bridges(edges: DataFrame, known: DataFrame, down: bool = True) -> DataFrame:
     ).select("source_node", "source_key", "target_node", "target_key")
 
 
-#: Rounds of a fixpoint between two checkpoints: they run as one job.
-UNROLLED = 4
-
-
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The ids that seeds (id) reach over edges (src, dst), the seeds among them.
-
-    Each round only carries on from ids that were new in the one before, and keeps for each id the
-    round in which it was first reached. Loops end it, as nothing on them is new twice.
-    """
-    pairs = checkpointed(edges.select("src", "dst").distinct())
-    state, turn = checkpointed(seeds.select("id").distinct().withColumn("round", F.lit(0))), 0
-    while True:
-        for _ in range(UNROLLED):
-            onward = state.join(pairs, (F.col("id") == F.col("src")) & (F.col("round") == turn), "left")
-            turn += 1
-            step = F.array_compact(F.array(F.struct("id", "round"), F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("id"), F.lit(turn).alias("round")))))
-            state = onward.select(F.inline(step)).groupBy("id").agg(F.min("round").alias("round"))
-        state = checkpointed(state)
-        if not state.where(F.col("round") == turn).take(1):
-            return state.select("id")
-
-
-def relaxed(state: DataFrame, edges: DataFrame, value: str, step: Column, limit: int) -> DataFrame:
-    """state (id, columns, value) with value raised to the greatest over paths of edges (src, dst).
-
-    step gives, from the row of an edge's source, the value that it offers to its end; a greater
-    value is taken over. Stops when nothing rises, and after limit rounds, which only loops reach.
-    """
-    rest = [c for c in state.columns if c not in ("id", value)]
-    done = 0
-    while done < limit:
-        before = state
-        for _ in range(min(UNROLLED, limit - done)):
-            offers = state.join(edges, F.col("id") == F.col("src"), "left")
-            own = F.struct("id", *rest, F.col(value))
-            given = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("id"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in rest], step.cast(state.schema[value].dataType).alias(value)))
-            state = offers.select(F.inline(F.array_compact(F.array(own, given)))).groupBy("id").agg(*[F.max(c).alias(c) for c in rest], F.max(value).alias(value))
-            done += 1
-        state = checkpointed(state)
-        if not state.join(before.select("id", F.col(value).alias("_was")), "id").where(F.col(value) > F.col("_was")).take(1):
-            break
-    return state
-
-
-def longest_ranks(edges: DataFrame, limit: int | None = None) -> DataFrame:
+def ranks(edges: DataFrame) -> DataFrame:
     """(id, rank): the edges of the longest path to each id of edges (src, dst).
 
-    Edges from an id to itself are skipped. On loops the ranks stop growing after as many rounds as
-    there are ids, or limit.
+    Edges from an id to itself are skipped; ids on a loop share the rank of the loop.
     """
-    pairs = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    ranks = checkpointed(ends.withColumn("rank", F.lit(0)))
-    return relaxed(ranks, pairs, "rank", F.col("rank") + 1, ranks.count() if limit is None else limit)
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("weight", F.lit(1.0))
+    return graphs.longest_paths(edges, ends).select("id", F.col("start").cast("long").alias("rank"))
 
 
 _ID = "concat({0}_node, '|', {0}_key)"
@@ -180,7 +131,7 @@ def trace(maps: DataFrame, table: str, column: str | None = None, direction: str
     """The edges that lead from (down), to (up) or through (both) a table or one of its columns.
 
     table is 'schema.table'. Returns source_node, source_column, target_node, target_column and
-    step_rank, the longest path to the edge's source within the trace.
+    step_rank, the longest path of columns to the edge's source within the trace.
     An unknown table or no maps give no rows.
     """
     pairs = checkpointed(column_pairs(maps))
@@ -191,14 +142,14 @@ def trace(maps: DataFrame, table: str, column: str | None = None, direction: str
         near, far = ("source", "target") if down else ("target", "source")
         bridge = checkpointed(bridges(edges, known, down))
         steps = edges.union(bridge).select(F.expr(_ID.format(near)).alias("src"), F.expr(_ID.format(far)).alias("dst"))
-        reached = closure(steps, seeds)
+        reached = graphs.reachable(steps, seeds)
         direct = edges.withColumn("id", F.expr(_ID.format(near))).join(reached, "id", "left_semi").drop("id")
         used = bridge.withColumn("id", F.expr(_ID.format(near))).join(reached, "id", "left_semi").select("source_node", F.lit("*").alias("source_key"), "target_node", F.lit("*").alias("target_key"))
         part = direct.union(used)
         taken = part if taken is None else taken.union(part)
     taken = checkpointed(taken.distinct())
-    ranks = longest_ranks(taken.select(F.col("source_node").alias("src"), F.col("target_node").alias("dst")))
-    return taken.join(ranks.withColumnRenamed("id", "source_node"), "source_node").select(
+    ranked = ranks(taken.select(F.expr(_ID.format("source")).alias("src"), F.expr(_ID.format("target")).alias("dst")))
+    return taken.withColumn("id", F.expr(_ID.format("source"))).join(ranked, "id").select(
         "source_node", F.col("source_key").alias("source_column"), "target_node", F.col("target_key").alias("target_column"), F.col("rank").cast("int").alias("step_rank")
     )
 
@@ -210,8 +161,8 @@ def table_edges(maps: DataFrame) -> DataFrame:
 
 def mapping_steps(maps: DataFrame) -> DataFrame:
     """maps with step_number: one more than the longest path of tables to the source."""
-    ranks = longest_ranks(checkpointed(table_edges(maps))).select(F.col("id").alias("source_node"), (F.col("rank") + 1).alias("step_number"))
-    return keyed(maps).join(ranks, "source_node").select(*maps.columns, F.col("step_number").cast("int").alias("step_number"))
+    ranked = ranks(checkpointed(table_edges(maps))).select(F.col("id").alias("source_node"), (F.col("rank") + 1).alias("step_number"))
+    return keyed(maps).join(ranked, "source_node").select(*maps.columns, F.col("step_number").cast("int").alias("step_number"))
 
 
 def column_lineage_report(maps: DataFrame) -> DataFrame:
@@ -254,7 +205,7 @@ def risk_scores(maps: DataFrame, self_edges: bool = False) -> DataFrame:
     reads = reader.groupBy("table_name").agg(F.count_distinct("reader").alias("reader_packages"), F.count_distinct("down").alias("downstream_tables"), F.sum("n").alias("as_source"))
     writes = writer.groupBy("table_name").agg(F.count_distinct("writer").alias("writer_packages"), F.sum("n").alias("as_target"))
     pairs = counted.where("src is not null and dst is not null").select("src", "dst").distinct()
-    depth = longest_ranks(pairs).select(F.col("id").alias("table_name"), F.col("rank").alias("depth"))
+    depth = ranks(pairs).select(F.col("id").alias("table_name"), F.col("rank").alias("depth"))
     full = reads.join(writes, "table_name", "full").join(depth, "table_name", "left")
     if self_edges:
         loops = pairs.where("src = dst").select(F.col("src").alias("table_name"), F.lit(True).alias("loop"))

@@ -7,7 +7,8 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.lineage import relaxed, text
+from weftline.operators import graphs
+from weftline.operators.lineage import text
 from weftline.session import checkpointed
 
 # Estimated seconds of a task by its type, and what each component of a data flow adds.
@@ -65,38 +66,29 @@ def durations(tasks: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def finish_times(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(task_id, seconds, finish): the longest weighted path that ends with each task.
+    """(task_id, seconds, finish, before): the longest weighted path that ends with each task.
 
-    edges has src and dst; those to unknown tasks and from a task to itself are skipped. Rounds of
-    relaxation, as many as the longest path has tasks, and no more than there are tasks on loops.
+    edges has src and dst; those to unknown tasks and from a task to itself are skipped. Tasks of a
+    loop start together, after all tasks that lead to the loop. before is the task waited for last.
     """
-    known = tasks.select("task_id", "seconds")
-    pairs = edges.join(known.select(F.col("task_id").alias("src")), "src", "left_semi").join(known.select(F.col("task_id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst").distinct()
-    pairs = checkpointed(pairs)
-    state = checkpointed(known.select(F.col("task_id").alias("id"), "seconds", F.col("seconds").alias("finish")))
-    starts = state.select("id", "seconds").withColumnsRenamed({"id": "dst", "seconds": "adds"})
-    weighted = checkpointed(pairs.join(starts, "dst"))
-    return relaxed(state, weighted, "finish", F.col("finish") + F.col("adds"), state.count()).select(F.col("id").alias("task_id"), "seconds", "finish")
+    found = graphs.longest_paths(edges, tasks.select(F.col("task_id").alias("id"), F.col("seconds").alias("weight")))
+    return found.select(F.col("id").alias("task_id"), (F.col("finish") - F.col("start")).alias("seconds"), "finish", "before")
 
 
 def critical_path(tasks: DataFrame, edges: DataFrame) -> dict[str, object]:
     """The tasks of the longest path, its seconds, the recommended service level and whether it is at risk.
 
-    Walks back from the latest finish, one lookup a task of the path.
+    Every task knows the one that it waited for last, so the path is what the latest task reaches over
+    these links: one search, whatever the length of the path. Of equal finishes the least task counts.
     """
     state = checkpointed(finish_times(tasks, edges))
     last = state.orderBy(F.desc("finish"), "task_id").first()
     if last is None:
         return {"path": [], "seconds": 0.0, "service_level": 0, "at_risk": False}
-    path, here = [last["task_id"]], last
-    while here["finish"] > here["seconds"] and len(path) <= 10_000:
-        before = edges.where(F.col("dst") == here["task_id"]).select(F.col("src").alias("task_id")).join(state, "task_id").where(F.abs(F.col("finish") + here["seconds"] - here["finish"]) < 1e-9).orderBy("task_id").first()
-        if before is None or before["task_id"] in path:
-            break
-        path.append(before["task_id"])
-        here = before
+    back = graphs.reachable(state.select(F.col("task_id").alias("src"), F.col("before").alias("dst")), state.where(F.col("task_id") == last["task_id"]).select(F.col("task_id").alias("id")))
+    path = [r["task_id"] for r in state.join(back.withColumnRenamed("id", "task_id"), "task_id").orderBy("finish", "task_id").collect()]
     seconds = last["finish"]
-    return {"path": path[::-1], "seconds": seconds, "service_level": int(-(-seconds * BUFFER // 1)), "at_risk": seconds > AT_RISK}
+    return {"path": path, "seconds": seconds, "service_level": int(-(-seconds * BUFFER // 1)), "at_risk": seconds > AT_RISK}
 
 
 def execution_sequence(names: dict[str, str], edges: list[tuple[str, str]]) -> dict[str, int]:
