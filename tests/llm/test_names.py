@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -74,3 +75,48 @@ def test_two_edits_are_linked(spark):
     named = spark.createDataFrame([("customer", *r) for r in rows], "kind string, id long, name string")
     found = {(r["id_a"], r["id_b"]) for r in N.same_entity_pairs(N.link_names(named)).collect()}
     assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= found
+
+
+def test_cosine_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST", 7)  # lists are split
+    pick = random.Random(4)
+    parts = ["sko", "rme", "bru", "kas", "al", "ke", "gre", "nau", "tu", "ki", "pel", "o", "ng"]
+    bases = {"al", "ali", "aly", "a", "x1", "x1y"}
+    while len(bases) < 300:
+        base = "".join(pick.choice(parts) for _ in range(pick.randrange(2, 5)))
+        bases |= {base, base[:3] + pick.choice("aeiou") + base[4:], base[:2] + base[3:]}
+    bases = sorted(bases)
+    count: dict = {}
+    for b in bases:
+        for g in N._grams(b):
+            count[g] = count.get(g, 0) + 1
+    weight = {g: math.log(1 + len(bases) / n) for g, n in count.items()}
+    want = {(a, b) for a, b in itertools.combinations(bases, 2) if N.cosine(a, b, weight, 0.0) >= N.COSINE and N.near(a, b) <= N.edits(min(len(a), len(b)))}
+    rows = [("customer", "k", b) for b in bases] + [("customer", "other", b) for b in bases[:50]]
+    got = [(r["base"], r["base2"]) for r in N.similar_bases(spark.createDataFrame(rows, "kind string, key string, base string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("x1", "x1y") in want
+
+
+def test_prefix_holds_the_first_shared_gram():
+    pick = random.Random(6)
+    words = ["".join(pick.choice("abcd") for _ in range(pick.randrange(1, 9))) for _ in range(80)]
+    weight = {g: pick.random() + 0.1 for w in words for g in N._grams(w)}
+    for a, b in itertools.combinations(words, 2):
+        if N.cosine(a, b, weight, 0.0) >= N.COSINE:
+            assert set(N.prefix(a, weight, 0.0)) & set(N.prefix(b, weight, 0.0))
+
+
+def test_short_forms_are_learnt(spark):
+    pick = random.Random(9)
+    rows = []
+    for k in range(600):
+        family = "".join(pick.choice(["ska", "mer", "lon", "tig", "bru", "dal"]) for _ in range(3)) + str(k % 7)
+        given = pick.choice(["William", "Robert", "Maria"])
+        rows.append(("customer", 3 * k, f"{given} {family}"))
+        rows.append(("customer", 3 * k + 1, f"{given} {family}"))
+        if given == "William" and k % 2:
+            rows.append(("customer", 3 * k + 2, f"Bill {family}"))
+    named = spark.createDataFrame(rows, "kind string, id long, name string")
+    assert set(N._lexicons(N._worded(named))["customer"].short) == {"bill"}
+    linked = {r["id"]: r["entity"] for r in N.link_names(named).collect()}
+    assert all(linked[i] == linked[i - 2] for _, i, n in rows if n.startswith("Bill"))

@@ -6,22 +6,25 @@ similarity join by cosine with a threshold, and average-linkage clustering of wh
   1. A name is taken apart: titles, degrees and legal forms are told from the rest, and the words
      that are frequent in the table itself, such as given names or lines of business, from the rare
      one that tells names apart, the base (a family name or an organisation's own name). Typos and
-     abbreviations of frequent words are resolved to them. Equal results form a class, the unit of
-     all later steps, so copies of a spelling are never paired.
-  2. Bases are joined on shared n-grams. Only the longest grams are indexed: the whole base and the
-     grams with one character left out, of bases with TWO_EDITS letters also those with two left out,
-     as all bases within the edits allowed share one of them. They are so rare that lists stay short
-     as the data grows, where lists of short grams would grow with the square of it. Pairs then get the cosine of their
-     vectors of n-grams of GRAM characters and must reach COSINE.
-  3. Pairs of classes with such bases are checked word by word, with initials, nicknames, left out
+     abbreviations of frequent words are resolved to them, and so are short forms and translations,
+     which are learnt from the table: words that stand beside the same bases as a more frequent word
+     far more often than others do. Equal results form a class, the unit of all later steps, so
+     copies of a spelling are never paired.
+  2. Bases are vectors of n-grams of GRAM characters, weighted by inverse document frequency. All pairs
+     with a cosine of COSINE or more are found by a prefix-filtered join: with the grams of a vector
+     in order from the rarest, those after which the rest of the vector is shorter than COSINE can't
+     be the first that two such vectors share, so only the grams before are indexed. Lists of grams
+     longer than LIST are split. The join drops pairs whose lengths or letters differ by more than the
+     edits that the check in 3 allows; no list, pair or partner is cut, so there is no top-n.
+  3. Pairs of classes with such bases are checked word by word, with initials, short forms, left out
      middle names and different order allowed, which gives their similarity.
   4. Clusters grow by average linkage, as long as the average over all pairs of two clusters is at
      least LINKAGE; pairs that weren't found count as 0. Each round merges all pairs of clusters
      that are each other's nearest, which gives the same clusters as merging the nearest pair of all
      one by one, as averages can't rise by merging.
 
-Frequent words are collected: a word counts as frequent with FREQUENT of all names, so there can be
-no more than WORDS / FREQUENT of them. The weights of n-grams are bounded by the alphabet.
+What is collected: frequent words, no more than a name has words on average / FREQUENT; short forms,
+likewise with SHORT; counts of n-grams, which the alphabet bounds.
 """
 
 from __future__ import annotations
@@ -37,13 +40,18 @@ from pyspark.sql import functions as F
 
 from weftline.session import checkpointed
 
-#: Part of all names that a frequent word must be in, and the least number of them.
-FREQUENT, FREQUENT_LEAST = 0.003, 3
-#: Words of a name that count at most when frequent words are sought.
-WORDS = 12
+#: Part of all names that a frequent word must be in, and what is added to it at every size.
+FREQUENT, ADDED = 0.003, 2
+#: Part of all names that a short form must be in, what is added, the part of its bases that must have
+#: the full word too, and how much rarer than that it must be.
+SHORT, BESIDE, RARER = 0.0001, 0.25, 3
+#: Bases without the full word that every short form is credited with, so that few cases prove nothing.
+DOUBT = 4
 GRAM, COSINE, LINKAGE = 3, 0.25, 0.4
-#: Letters that bases must have to differ by one edit, and by two.
-ONE_EDIT, TWO_EDITS = 4, 8
+#: Letters of bases that may differ by two edits; shorter ones may differ by one.
+TWO_EDITS = 8
+#: Rows of a list of the index that one task joins; longer lists are split.
+LIST = 20_000
 
 # Words that aren't part of a person's name.
 TITLES = set(
@@ -55,25 +63,9 @@ FILLERS = set(
     "unknown test testing tes na n a none null nil pelanggan baru cash customer noname no name tidak diketahui ada umum supplier lain "
     "lainnya misc dummy tbd anonymous anonim general kosong belum new client vendor other others tba contoh example sample".split()
 )
-# Short names that neither begin nor end the full name.
-NICKNAMES = {
-    "bams": {"bambang"}, "mia": {"maria"}, "mamad": {"muhammad"}, "moh": {"muhammad"}, "mohd": {"muhammad"}, "muh": {"muhammad"}, "md": {"muhammad"}, "mat": {"muhammad"},
-    "wawan": {"setiawan", "kurniawan"}, "bill": {"wiliam", "william"}, "billy": {"wiliam", "william"}, "liam": {"wiliam", "william"}, "yoyo": {"yohanes"}, "yohan": {"yohanes"}, "kate": {"katarina"}, "kathy": {"katarina"}, "katie": {"katarina"},
-    "alex": {"aleksander", "alexander"}, "aleks": {"aleksander"}, "xander": {"aleksander"}, "sasha": {"aleksander"}, "doni": {"teodorus", "antonius"}, "dodo": {"teodorus"}, "rita": {"margareta"}, "lia": {"natalia", "yulianti"},
-    "bob": {"robert"}, "bobby": {"robert"}, "hendra": {"hendrikus"}, "hendri": {"hendrikus"}, "abdul": {"abdurrahman"}, "dur": {"abdurrahman"}, "toni": {"antonius"}, "tony": {"antonius"}, "lisa": {"elisabeth"}, "liz": {"elisabeth"}, "betty": {"elisabeth"},
-    "meg": {"margareta"}, "tasya": {"natalia"}, "iwan": {"setiawan", "kurniawan"}, "han": {"yohanes"}, "joni": {"yohanes"}, "sul": {"sulistyowati"}, "lis": {"sulistyowati"}, "ben": {"benyamin"}, "beni": {"benyamin"}, "kiki": {"zulkifli"},
-}
 # Legal forms and the ways to write them.
 FORMS = {"pt": "pt", "cv": "cv", "ud": "ud", "koperasi": "koperasi", "kop": "koperasi", "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "gmbh": "gmbh", "tbk": "", "corp": "corp", "corporation": "corp", "llc": "llc"}
 FORM_PHRASES = {"perseroan terbatas": "pt", "usaha dagang": "ud", "commanditaire vennootschap": "cv"}
-# Lines of business in other languages, spellings and abbreviations.
-TRADES = {
-    "electronic": "elektronik", "electronics": "elektronik", "elek": "elektronik", "elektro": "elektronik", "elk": "elektronik", "logistics": "logistik", "logistic": "logistik", "log": "logistik", "lgs": "logistik",
-    "chemical": "kimia", "chemicals": "kimia", "chemistry": "kimia", "kim": "kimia", "food": "pangan", "foods": "pangan", "pgn": "pangan", "pharma": "farma", "pharmacy": "farma", "frm": "farma", "building": "bangunan", "bgn": "bangunan", "bang": "bangunan",
-    "automotive": "otomotif", "oto": "otomotif", "auto": "otomotif", "technik": "teknik", "tehnik": "teknik", "tek": "teknik", "tkn": "teknik", "technic": "teknik", "textile": "tekstil", "textiles": "tekstil", "tex": "tekstil", "teks": "tekstil", "tks": "tekstil",
-    "oetama": "utama", "utm": "utama", "industry": "industri", "industries": "industri", "ind": "industri", "indust": "industri", "international": "internasional", "intl": "internasional", "int": "internasional", "sejahtra": "sejahtera", "sjht": "sejahtera",
-    "mandri": "mandiri", "mdr": "mandiri", "perkassa": "perkasa", "prks": "perkasa", "brsama": "bersama", "bsm": "bersama", "abadi": "abadi", "jaya": "jaya", "makmur": "makmur", "sentosa": "sentosa",
-}
 CONNECTORS = {"dan", "and", "und", "the", "of"}
 
 
@@ -114,12 +106,14 @@ def near(a: str, b: str) -> int:
 
 
 def shortened(a: str, b: str) -> bool:
-    """Whether a is a short form of b: a nickname, its beginning, its end, or its letters in order."""
-    if len(a) >= len(b) or len(a) < 2:
-        return False
-    if b in NICKNAMES.get(a, ()):
-        return True
-    return len(a) >= 3 and (b.startswith(a) or b.endswith(a) or (len(a) >= 4 and a in b))
+    """Whether a is a short form of b: its beginning, its end, or a longer part."""
+    return 3 <= len(a) < len(b) and (b.startswith(a) or b.endswith(a) or (len(a) >= 4 and a in b))
+
+
+def abbreviates(a: str, b: str) -> bool:
+    """Whether a has the first letter of b and others of its letters in order."""
+    letters = iter(b)
+    return 2 <= len(a) < len(b) and a[0] == b[0] and all(c in letters for c in a)
 
 
 # Spellings of one sound, each with the one that is kept.
@@ -140,13 +134,14 @@ def holes(word: str) -> set[str]:
 
 def edits(size: int) -> int:
     """The edits by which bases may differ whose shorter one has size letters."""
-    return (size >= ONE_EDIT) + (size >= TWO_EDITS)
+    return 1 + (size >= TWO_EDITS)
 
 
 class Parts:
-    """Takes names apart by the frequent words of their table."""
+    """Takes names apart by the frequent words of their table and the short forms learnt from it."""
 
-    def __init__(self, frequent: dict[str, int]) -> None:
+    def __init__(self, frequent: dict[str, int], short: dict[str, dict[str, float]] | None = None) -> None:
+        self.short = short or {}
         self.counts = {w: n for w, n in frequent.items() if len(w) > 1 and w not in TITLES and w not in FORMS}
         # A frequent word may itself be the misspelling of a far more frequent one
         long: dict[str, list[str]] = {}
@@ -176,11 +171,13 @@ class Parts:
     def _resolve(self, word: str) -> tuple[str, bool]:
         if len(word) == 1:
             return word, True
+        if word in self.short:
+            return word, True
         if sound(word) in self.heard and (word not in self.frequent or self.frequent[self.heard[sound(word)]] > 2 * self.frequent[word]):
             return self.heard[sound(word)], True
         if word in self.frequent:
             return word, True
-        if word in NICKNAMES or any(shortened(word, w) for w in self.frequent if len(word) >= 3):
+        if any(shortened(word, w) for w in self.frequent if len(word) >= 3):
             return word, True
         if len(word) >= 2:
             found = {w for h in holes(word) for w in self.typo.get(h, ()) if near(word, w) <= 1}
@@ -188,9 +185,13 @@ class Parts:
                 return (found.pop(), True) if len(found) == 1 else (word, True)
         return word, False
 
-    def person(self, name: str | None) -> tuple[list[str], str, str] | None:
-        """(given words in order, base, '') of a person's name; None if it names nobody."""
-        own = [w for w in words(name) if not w.isdigit()]
+    def full(self, word: str) -> set[str]:
+        """The frequent words that a word was learnt to be short for."""
+        return set(self.short.get(word, ()))
+
+    def person(self, every: list[str]) -> tuple[list[str], str, str] | None:
+        """(given words in order, base, '') of the words of a person's name; None if it names nobody."""
+        own = [w for w in every if not w.isdigit()]
         if not own or all(w in FILLERS or set(w) == {"x"} for w in own):
             return None
         kept = [w for w in own if w not in TITLES] or own
@@ -223,13 +224,30 @@ class Parts:
         """First letters of the given words and of the full names they may be short for."""
         found = {w[0] for w in given}
         for w in given:
+            found |= {f[0] for f in self.full(w)}
             if len(w) > 1 and w not in self.frequent:
                 found |= {f[0] for f in self.frequent if shortened(w, f)}
         return sorted(found) or [""]
 
-    def organisation(self, name: str | None) -> tuple[list[str], str, str] | None:
+    def trade(self, word: str) -> tuple[str, bool]:
+        """The line of business that a word stands for, or word itself, and whether it is a usual one."""
+        learnt = self.short.get(word)
+        if learnt:
+            best = sorted(learnt.items(), key=lambda x: (-x[1], x[0]))
+            if len(best) == 1 or best[0][1] >= 1.5 * best[1][1]:
+                return best[0][0], True
+            return word, True
+        got, usual = self.resolve(word)
+        if len(got) > 1 and (not usual or got not in self.frequent):
+            known = [w for w in self.frequent if w not in self.short]
+            found = [w for w in known if len(w) >= 5 and abbreviates(got, w)] or [w for w in known if min(len(w), len(got)) > TWO_EDITS - 1 and near(got, w) <= 2]
+            if found:
+                return (found[0], True) if len(found) == 1 else (got, True)
+        return got, usual
+
+    def organisation(self, every: list[str]) -> tuple[list[str], str, str] | None:
         """(lines of business in order, base, legal form); None if it names nobody."""
-        text = " ".join(words(name))
+        text = " ".join(every)
         form = ""
         for phrase, short in FORM_PHRASES.items():
             if phrase in text:
@@ -242,11 +260,7 @@ class Parts:
                 own.append(w)
         if not own or all(w in FILLERS or w.isdigit() or set(w) == {"x"} for w in own):
             return None
-        done = []
-        for w in own:
-            usual = w in TRADES
-            got, known = (TRADES[w], True) if usual else self.resolve(w)
-            done.append((TRADES.get(got, got), known))
+        done = [self.trade(w) for w in own]
         rare = [n for n, (_, usual) in enumerate(done) if not usual]
         at = rare[0] if rare else 0
         return sorted({done[n][0] for n in range(len(done)) if n != at and len(done[n][0]) > 1}), sound(own[at]), form
@@ -264,40 +278,43 @@ def cosine(a: str, b: str, weight: dict[str, float], usual: float) -> float:
     return square(x & y) / math.sqrt(square(x) * square(y))
 
 
-def _word_match(a: str, b: str, frequent: dict[str, int]) -> float:
+def _word_match(a: str, b: str, parts: Parts) -> float:
     """How well two words of a person's name agree."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
-        return 0.85 if a[0] == b[0] else 0.0
-    if a in frequent and b in frequent:
+        return 0.85 if a[0] == b[0] or any(a[0] == f[0] for f in parts.full(b)) or any(b[0] == f[0] for f in parts.full(a)) else 0.0
+    if b in parts.full(a) or a in parts.full(b) or parts.full(a) & parts.full(b):
+        return 0.9
+    if a in parts.frequent and b in parts.frequent:
         return 0.0
     if shortened(a, b) or shortened(b, a):
         return 0.9
     if max(len(a), len(b)) >= 3 and near(a, b) <= 1:
         return 0.9
     short, full = sorted((a, b), key=len)
-    if short not in frequent and len(short) >= 4:  # a short form with a typo
+    if short not in parts.frequent and len(short) >= 4:  # a short form with a typo
         sizes = range(len(short) - 1, len(short) + 2)
-        if any(near(short, full[:k]) <= 1 or near(short, full[-k:]) <= 1 for k in sizes if k < len(full)) or any(full in f and near(short, n) <= 1 for n, f in NICKNAMES.items()):
+        if any(near(short, full[:k]) <= 1 or near(short, full[-k:]) <= 1 for k in sizes if k < len(full)) or any(full in f and near(short, n) <= 1 for n, f in parts.short.items()):
             return 0.75
     return 0.0
 
 
-def _trade_match(a: str, b: str, frequent: dict[str, int]) -> float:
+def _trade_match(a: str, b: str, parts: Parts) -> float:
     """How well two lines of business agree."""
     if a == b:
         return 1.0
-    if a in frequent and b in frequent:
+    if b in parts.full(a) or a in parts.full(b):
+        return 0.95
+    if a in parts.frequent and b in parts.frequent:
         return 0.0
     short, full = sorted((a, b), key=len)
-    letters = iter(full)
-    if len(short) >= 2 and short[0] == full[0] and all(c in letters for c in short):
+    if abbreviates(short, full):
         return 0.95
     return 0.95 if near(a, b) <= (2 if len(short) >= 7 else 1) else 0.0
 
 
-def similarity(kind: str, a: tuple[list[str], str, str], b: tuple[list[str], str, str], frequent: dict[str, int]) -> float:
+def similarity(kind: str, a: tuple[list[str], str, str], b: tuple[list[str], str, str], parts: Parts) -> float:
     """How well the words beside the base agree, 0 where two names can't be the same."""
     few, many = sorted((list(a[0]), list(b[0])), key=len)
     if kind == "supplier":
@@ -307,8 +324,8 @@ def similarity(kind: str, a: tuple[list[str], str, str], b: tuple[list[str], str
         return 0.3
     score, left, match = 1.0, list(many), _trade_match if kind == "supplier" else _word_match
     for w in sorted(few, key=len, reverse=True):
-        best = max(left, key=lambda x: match(w, x, frequent))
-        got = match(w, best, frequent)
+        best = max(left, key=lambda x: match(w, x, parts))
+        got = match(w, best, parts)
         if not got:
             return 0.0
         score = min(score, got)
@@ -318,26 +335,50 @@ def similarity(kind: str, a: tuple[list[str], str, str], b: tuple[list[str], str
     return score * (0.85 if left else 1.0)
 
 
-def _frequent(named: DataFrame) -> dict[str, dict[str, int]]:
-    """The frequent words of each kind of name."""
+def _worded(named: DataFrame) -> DataFrame:
+    """(kind, id, words) of rows (kind, id, name)."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(k, w) for k, name in zip(frame["kind"], frame["name"], strict=True) for w in set(words(name)[:WORDS])]
-            yield pd.DataFrame(found, columns=["kind", "word"])
+            yield pd.DataFrame({"kind": frame["kind"], "id": frame["id"], "words": [words(n) for n in frame["name"]]})
 
-    sizes = {r["kind"]: r["n"] for r in named.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    least = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(FREQUENT_LEAST, FREQUENT * n)))]) if sizes else None
-    if least is None:
-        return {}
-    counted = named.select("kind", "name").mapInPandas(split, "kind string, word string").groupBy("kind", "word").agg(F.count("*").alias("n"))
-    found: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for r in counted.where(F.col("n") >= F.element_at(least, F.col("kind"))).collect():
-        found[r["kind"]][r["word"]] = r["n"]
-    return found
+    return named.mapInPandas(split, "kind string, id long, words array<string>")
 
 
-def _classes(named: DataFrame, frequent: dict[str, dict[str, int]]) -> DataFrame:
+def _lexicons(rows: DataFrame) -> dict[str, Parts]:
+    """What each kind of name is taken apart by: its frequent words and short forms of them."""
+    counted = checkpointed(rows.select("kind", F.explode(F.array_distinct("words")).alias("word")).groupBy("kind", "word").agg(F.count("*").alias("n")))
+    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    least = lambda share: F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(ADDED + share * n))]), F.col("kind"))
+    frequent: dict[str, dict[str, int]] = {k: {} for k in sizes}
+    for r in counted.where(F.col("n") >= least(FREQUENT)).collect():
+        frequent[r["kind"]][r["word"]] = r["n"]
+    # Names of two words, one of which isn't frequent: that one is the base, the other stands beside it
+    known = counted.where(F.col("n") >= least(SHORT)).select("kind", "word", "n", (F.col("n") >= least(FREQUENT)).alias("usual"))
+    plain = F.array(*[F.lit(w) for w in sorted(TITLES | set(FORMS) | CONNECTORS)])
+    two = rows.select("kind", F.filter(F.array_except("words", plain), lambda w: F.length(w) > 1).alias("w")).where("size(w) = 2")
+    beside = two.select("kind", F.inline(F.array(F.struct(F.col("w")[0].alias("base"), F.col("w")[1].alias("word")), F.struct(F.col("w")[1].alias("base"), F.col("w")[0].alias("word"))))).distinct()
+    bases = counted.where(F.col("n") < least(FREQUENT)).select("kind", F.col("word").alias("base"))
+    beside = checkpointed(beside.join(known, ["kind", "word"]).join(bases, ["kind", "base"]))
+    own = beside.groupBy("kind", "word").agg(F.count("*").alias("held")).where(F.col("held") >= ADDED + 1)
+    full = beside.where("usual").select("kind", "base", F.col("word").alias("full"), F.col("n").alias("many"))
+    both = beside.join(full, ["kind", "base"]).where(F.col("many") >= RARER * F.col("n")).groupBy("kind", "word", "full").agg(F.count("*").alias("both"))
+    learnt = both.join(own, ["kind", "word"]).withColumn("part", F.col("both") / (F.col("held") + DOUBT)).where(F.col("part") >= BESIDE)
+    found: dict[str, dict[str, dict[str, float]]] = {k: {} for k in sizes}
+    for r in learnt.select("kind", "word", "full", "part").collect():
+        found[r["kind"]].setdefault(r["word"], {})[r["full"]] = r["part"]
+    made = {}
+    for kind, short in found.items():
+        usual = frequent[kind]
+        typos = {w for w in short if len(w) > 4 and any(near(w, x) == 1 and n > usual.get(w, 0) for x, n in usual.items())}
+        clean = {w: {x: p for x, p in full.items() if x not in short and not x.startswith(w)} for w, full in short.items() if w not in typos}
+        made[kind] = Parts(usual, {w: full for w, full in clean.items() if full})
+    return made
+
+
+def _classes(rows: DataFrame, lexicons: dict[str, Parts]) -> DataFrame:
     """(kind, id, rest, base, form, keys) of all rows that name somebody.
 
     Names of one entity share a key: the initial of a given name, or the number of lines of
@@ -345,33 +386,92 @@ def _classes(named: DataFrame, frequent: dict[str, dict[str, int]]) -> DataFrame
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = {k: Parts(w) for k, w in frequent.items()}
         for frame in frames:
             out = []
-            for kind, own, name in zip(frame["kind"], frame["id"], frame["name"], strict=True):
-                got = (parts[kind].organisation if kind == "supplier" else parts[kind].person)(name)
+            for kind, own, every in zip(frame["kind"], frame["id"], frame["words"], strict=True):
+                parts = lexicons[kind]
+                got = (parts.organisation if kind == "supplier" else parts.person)(list(every))
                 if got:
-                    keys = [str(len(got[0]))] if kind == "supplier" else parts[kind].initials(got[0])
+                    keys = [str(len(got[0]))] if kind == "supplier" else parts.initials(got[0])
                     out.append((kind, own, got[0], got[1], got[2], keys))
             yield pd.DataFrame(out, columns=["kind", "id", "rest", "base", "form", "keys"])
 
-    return named.mapInPandas(parse, "kind string, id long, rest array<string>, base string, form string, keys array<string>")
+    return rows.mapInPandas(parse, "kind string, id long, rest array<string>, base string, form string, keys array<string>")
+
 
+def letters(base: str) -> int:
+    """Bits for the letters and digits of base that occur once, and again for those that occur twice.
+
+    An edit changes two bits at most, and one that swaps neighbours none.
+    """
+    bits = 0
+    for c in base:
+        at = ord(c) % 31
+        bits |= 1 << at + (31 if bits >> at & 1 else 0)
+    return bits
+
+
+def prefix(base: str, weight: dict[str, float], usual: float) -> list[str]:
+    """The grams of base, from the rarest, one of which it shares with all bases of a cosine of COSINE or more.
+
+    They are also the first that the two share in this order, so both have it in their prefix.
+    """
+    ordered = sorted(_grams(base), key=lambda g: (-weight.get(g, usual), g))
+    squares = [weight.get(g, usual) ** 2 for g in ordered]
+    whole = rest = sum(squares)
+    for n, one in enumerate(squares, 1):
+        rest -= one
+        if rest < COSINE**2 * whole * (1 - 1e-9):
+            return ordered[:n]
+    return ordered
 
-def _similar(pairs: DataFrame, frequent: dict[str, dict[str, int]], weight: dict[str, float], usual: float) -> DataFrame:
+
+def similar_bases(keyed: DataFrame) -> DataFrame:
+    """(kind, base, base2, angle) of the bases of rows (kind, key, base) that share a key, base < base2.
+
+    Their vectors have a cosine, angle, of COSINE or more, and they differ by no more than edits() allows.
+    """
+    bases = checkpointed(keyed.select("kind", "base").distinct())
+    grams = F.expr(f"transform(sequence(1, greatest(1, length(base) + 2 - {GRAM} + 1)), k -> substring(concat('^', base, '$'), k, {GRAM}))")
+    counted = {r["gram"]: r["n"] for r in bases.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}  # at most 38 ^ GRAM
+    total = bases.count()
+    weight, usual = {g: math.log(1 + total / n) for g, n in counted.items()}, math.log(1 + total)
+
+    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for kind, base in frame.itertuples(index=False):
+                bits = letters(base)
+                rows += [(kind, base, g, -(-counted.get(g, 1) // LIST), len(base), bits) for g in prefix(base, weight, usual)]
+            yield pd.DataFrame(rows, columns=["kind", "base", "gram", "splits", "size", "bits"])
+
+    indexed = checkpointed(bases.mapInPandas(index, "kind string, base string, gram string, splits int, size int, bits long").join(keyed.select("kind", "key", "base").distinct(), ["kind", "base"]))
+    left = indexed.withColumn("salt", F.pmod(F.xxhash64("base"), F.col("splits")).cast("int"))
+    right = indexed.select("kind", "key", "gram", F.col("base").alias("base2"), F.col("size").alias("size2"), F.col("bits").alias("bits2"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"))
+    may = 1 + (F.least("size", "size2") >= TWO_EDITS).cast("int")
+    within = (F.abs(F.col("size") - F.col("size2")) <= may) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= 2 * may)
+    met = left.join(right, ["kind", "key", "gram", "salt"]).where((F.col("base") < F.col("base2")) & within).select("kind", "base", "base2").distinct()
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for kind, a, b in frame.itertuples(index=False):
+                angle = cosine(a, b, weight, usual)
+                if angle >= COSINE and near(a, b) <= edits(min(len(a), len(b))):
+                    out.append((kind, a, b, angle))
+            yield pd.DataFrame(out, columns=["kind", "base", "base2", "angle"])
+
+    return met.mapInPandas(check, "kind string, base string, base2 string, angle double")
+
+
+def _similar(pairs: DataFrame, lexicons: dict[str, Parts]) -> DataFrame:
     """(kind, a, b, sim) of the pairs of classes that agree."""
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for kind, a, rest, base, form, b, rest2, base2, form2 in frame.itertuples(index=False):
-                near_by = 1.0
-                if base != base2:
-                    angle = cosine(base, base2, weight, usual)
-                    if angle < COSINE or near(base, base2) > edits(min(len(base), len(base2))):
-                        continue
-                    near_by = 0.7 + 0.3 * angle
-                sim = near_by * similarity(kind, (list(rest), base, form), (list(rest2), base2, form2), frequent[kind])
+            for kind, a, rest, base, form, b, rest2, base2, form2, angle in frame.itertuples(index=False):
+                sim = (0.7 + 0.3 * angle) * similarity(kind, (list(rest), base, form), (list(rest2), base2, form2), lexicons[kind])
                 if sim >= LINKAGE:
                     out.append((kind, a, b, sim))
             yield pd.DataFrame(out, columns=["kind", "a", "b", "sim"])
@@ -420,31 +520,20 @@ def link_names(named: DataFrame) -> DataFrame:
     rows; other columns are ignored; accents, letter case, titles and word order don't matter.
     """
     usable = named.where("kind is not null and id is not null and name is not null").select("kind", F.col("id").cast("long").alias("id"), "name")
-    frequent = _frequent(usable)
-    rows = checkpointed(_classes(usable, frequent))
+    worded = checkpointed(_worded(usable))
+    lexicons = _lexicons(worded)
+    rows = checkpointed(_classes(worded, lexicons))
     by_class = checkpointed(rows.groupBy("kind", "rest", "base", "form", "keys").agg(F.min("id").alias("cls")))
     keyed = by_class.withColumn("key", F.explode("keys")).drop("keys")
-    bases = checkpointed(keyed.select("kind", "key", "base").distinct())
-    grams = F.expr(f"transform(sequence(1, greatest(1, length(base) + 2 - {GRAM} + 1)), k -> substring(concat('^', base, '$'), k, {GRAM}))")
-    counted = bases.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most 38 ^ GRAM
-    total = bases.count()
-    weight, usual = {r["gram"]: math.log(1 + total / r["n"]) for r in counted}, math.log(1 + total)
-    # Pairs within the edits that bases of their length may differ by share what is left of both without as many letters
-    longest = F.expr(
-        f"flatten(transform(sequence(1, length(base)), i -> transform(if(length(base) >= {TWO_EDITS}, sequence(i, length(base)), array(i)), "
-        "j -> xxhash64(concat(substring(base, 1, i - 1), substring(base, i + 1, j - i - 1), substring(base, j + 1))))))"
-    )
-    indexed = checkpointed(bases.where(F.length("base") >= ONE_EDIT).select("kind", "base").distinct()).select("kind", "base", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("base")), longest))).alias("gram"))
-    met = indexed.join(indexed.withColumnRenamed("base", "base2"), ["kind", "gram"]).where("base < base2").select("kind", "base", "base2").distinct()
-    met = met.union(bases.select("kind", "base", F.col("base").alias("base2")).distinct())
     other = keyed.select("kind", "key", F.col("cls").alias("b"), F.col("rest").alias("rest2"), F.col("base").alias("base2"), F.col("form").alias("form2"))
+    met = similar_bases(keyed).union(keyed.select("kind", "base", F.col("base"), F.lit(1.0)).distinct())
     pairs = (
         met.join(keyed, ["kind", "base"]).join(other, ["kind", "key", "base2"])
         .where((F.col("base") < F.col("base2")) | (F.col("cls") < F.col("b")))
-        .select("kind", F.col("cls").alias("a"), "rest", "base", "form", "b", "rest2", "base2", "form2")
+        .select("kind", F.col("cls").alias("a"), "rest", "base", "form", "b", "rest2", "base2", "form2", "angle")
         .dropDuplicates(["kind", "a", "b"])
     )
-    found = _similar(pairs, frequent, weight, usual)
+    found = _similar(pairs, lexicons)
     ordered = found.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
     clusters = average_linkage(ordered, LINKAGE)
     mine = rows.join(by_class, ["kind", "rest", "base", "form", "keys"]).select("kind", "id", F.col("cls").alias("item"))
