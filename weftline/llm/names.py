@@ -373,7 +373,7 @@ def _lexicons(rows: DataFrame) -> dict[str, Parts]:
     for kind, short in found.items():
         usual = frequent[kind]
         typos = {w for w in short if len(w) > 4 and any(near(w, x) == 1 and n > usual.get(w, 0) for x, n in usual.items())}
-        clean = {w: {x: p for x, p in full.items() if x not in short and not x.startswith(w)} for w, full in short.items() if w not in typos}
+        clean = {w: {x: p for x, p in full.items() if x not in short} for w, full in short.items() if w not in typos}
         made[kind] = Parts(usual, {w: full for w, full in clean.items() if full})
     return made
 
