@@ -86,3 +86,23 @@ def test_currency_signs_stand_for_letters():
 @pytest.mark.parametrize("raw, word", [("f" + "u" * 300 + "ck", "fuck"), ("m" + "o" * 80 + "r0n", "moron"), ("s7" + "u" * 500 + "p1d", "stupid"), ("n4k3d" * 20, "naked" * 20)])
 def test_long_words_are_decoded(raw, word):
     assert RESTORER.words(raw) == [word]
+
+
+@pytest.mark.parametrize("raw, word", [("sh1t2024", "shit"), ("f---u---c---k", "fuck"), ("shtihead", "shithead"), ("m o r 0 n", "moron"), ("m*0*r*o*n", "moron"), ("stupdi", "stupid"), ("scientist", "scientist")])
+def test_years_long_gaps_and_swaps(raw, word):
+    counts = np.ones((27, 27, 27))
+    for known in ("shithead hit head shine white sheath heading hidden scientist artist list " * 50).split():
+        codes = [0, 0, *[ord(c) - 96 for c in known], 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            counts[a, b, c] += 20
+    own = A.Restorer(counts, {w: v for v, ws in A.SEEDS.items() for w in ws})
+    assert own.words(raw) == [word]
+
+
+def test_letters_one_by_one_are_parted():
+    assert RESTORER.words("k i l l y o u r s e l f")[0] == "kill" and "".join(RESTORER.words("k i l l y o u r s e l f")) == "killyourself"
+    assert RESTORER.words("x 1 3 0") == ["x", "", "", ""]
+
+
+def test_initials_tell_nothing():
+    assert A._features("n smith and i agree") == [("smith", None), ("and", None), ("agree", None), ("smith", "and"), ("and", "i"), ("i", "agree")]

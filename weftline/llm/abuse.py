@@ -1,21 +1,22 @@
 """A score for abusive, hateful or sexually explicit content of every document.
 
-Method: noisy-channel deobfuscation. Words that look disguised, by digits and signs for letters, by
-separated letters, repeated letters, swapped neighbours or formatting inside the word, become a
-lattice of the characters that they may stand for. A Viterbi search takes the path that a character
-language model finds most likely, and the restored text is scored.
-
-  * The language model counts the character trigrams of all documents, a table that the alphabet
-    bounds, and gives the words of the seed list a fixed share.
+Method: noisy-channel deobfuscation. Words that look disguised become a lattice of the characters that
+they may stand for: digits, signs and masks for letters, signs between letters, repeated letters,
+swapped neighbours. A Viterbi search takes the path that a character language model finds most likely,
+and the restored text is scored. Letters set apart are parted into words by the same model.
+
+  * The language model mixes the character trigrams of all documents, a table that the alphabet
+    bounds, with the words of the seed list, which have SHARE of the probability. The list is text of
+    the model and nothing else: its words are found as the model's paths through the lattice.
   * The score of a sentence is the sum of the weights of its words and pairs of neighbouring words;
-    that of a document is its highest sentence. Weights start from the seed list below and are
-    fitted to the labelled documents by logistic regression over their sentences. A label holds for
-    a document and not for each sentence, so of a document labelled as bad only the sentence counts
-    that the weights so far find worst; one whose worst sentence still looks harmless is taken as
-    labelled wrongly. LABELLED bounds the labelled documents that are used, WORST the sentences of
-    each, MODEL the weights of the first ranking.
-  * The threshold is the one with the best F1 on labelled documents whose half of the labels wasn't
-    used for the weights; with few labels it is THRESHOLD.
+    that of a document is its highest sentence. Weights start from the seed list and are fitted to
+    the labelled documents by logistic regression over their sentences. A label holds for a document
+    and not for each sentence, so of a document labelled as bad only the sentence counts that the
+    weights so far find worst; one whose worst sentence still looks harmless is taken as labelled
+    wrongly, and so is one labelled as good with a sentence that looks bad. The classifier is fitted to a bounded sample: LABELLED documents, and of each the WORST
+    sentences and, of good ones, OTHERS evenly spaced.
+  * A document is flagged where its worst sentence is bad with a probability of PROBABLE or more by the
+    regression, in which a bad sentence counts BAD_WEIGHT times. Scores are log-odds above that.
 
 Whole texts are scored, comments and macros included.
 """
@@ -37,23 +38,25 @@ from pyspark.sql import functions as F
 
 from weftline.session import checkpointed
 
-#: Labelled documents, sentences of each (and OTHERS of good ones), and weights of the first ranking
-#: used at most; such a weight needs LEAST bad documents.
-LABELLED, WORST, OTHERS, MODEL, LEAST = 20_000, 3, 5, 200_000, 2
-#: The threshold, and how weights are fitted: rounds, steps of a round, rate, pull to the seed list.
-THRESHOLD, ROUNDS, STEPS, RATE, PULL = 3.5, 3, 150, 0.1, 5e-4
+#: The sample the classifier is fitted to: labelled documents, worst sentences of each, and others of
+#: good ones. Words count for the first ranking of sentences if LEAST bad documents have them.
+LABELLED, WORST, OTHERS, LEAST = 20_000, 3, 5, 2
+#: The probability from which a document is flagged.
+PROBABLE = 0.2
+#: What is added to the seed list's weights where there are no labels, and how weights are fitted: rounds,
+#: steps of a round, rate, pull to the seed list.
+BIAS, ROUNDS, STEPS, RATE, PULL = -2.5, 3, 150, 0.1, 5e-4
 #: Words of a sentence; longer ones are taken as several.
 LONGEST = 200
 #: What a bad sentence counts against a harmless one.
-BAD_WEIGHT = 12.0
-#: Value below which a label that calls a document bad is taken as wrong.
-DOUBT = -2.0
-#: Bad documents below which the threshold isn't fitted.
-ENOUGH = 30
+BAD_WEIGHT = 4.0
+#: Values below which a label that calls a document bad is taken as wrong, and from which one that calls it good.
+DOUBT, DOUBT_GOOD = -1.0, 2.5
 #: Share of the seed list in the language model.
 SHARE = 0.2
-#: Cost of taking the signs at an edge of a word for none of its letters, and of one disguised elsewhere too.
-DROP, DROP_DISGUISED = 1.0, 5.0
+#: Costs of the channel: a sign at an edge of a word for none of its letters, where another is disguised
+#: too, a sign between letters for nothing, neighbours that have changed places.
+DROP, DROP_DISGUISED, DROP_INSIDE, SWAP = 1.0, 5.0, 1.0, 3.0
 
 # Words that insult, threaten or demean, or describe sex explicitly, by language.
 SEEDS = {
@@ -72,7 +75,6 @@ SEEDS = {
         "dumm dummes dummer hirnloser versager missraten verrecke abstechen halt creve ferme espece vermine exterminer inutil basura callate muere "
         "bodoh anjing babi sampah mati bacot otak dungu"
     ).split(),
-    -2.5: "insults annotators detectors quoted endorse occur marked flag speech dialect rats patients tumours intercourse contraceptive".split(),
 }
 # What characters in disguised words stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "€": "e", "£": "l"}
@@ -87,8 +89,11 @@ _MARKS, _OTHER = re.compile("[̀-ͯ]+"), re.compile("[^\x00-\x7f€£]+")
 _FORMAT = r"\\(?:textbf|textit|emph|texttt|textsc|textrm|textsf|underline|mbox)\{([a-z]+)\}"
 #: Formatting of a part of a word, which is taken away so that the word is whole again.
 GROUP, COMMAND = re.compile(r"\{\\(?:it|bf|em|tt|sl|sc|rm)\s+([a-z]+)\}"), re.compile(_FORMAT)
-#: Letters one by one.
-SPREAD = re.compile(r"(?<![a-z])[a-z](?:([ .\-_~])[a-z]){2,}(?![a-z])")
+#: Letters one by one, or with signs for some of them.
+SPREAD = re.compile(r"(?<![a-z0-9])[a-z](?:([ .\-_~])\1*[a-z@$*0134578](?![a-z0-9@$*])){2,}")
+_APART = re.compile(r"[ .\-_~]+")
+#: The longest word that letters one by one are parted into.
+PARTED = 24
 _SIGN = "0-9@$+|€£#*"
 #: Words, with the digits and signs that may stand for letters, and what ends a sentence: its signs,
 #: blank lines, arguments, commands that set text apart.
@@ -96,8 +101,9 @@ TOKEN = re.compile(rf"[a-z{_SIGN}]+(?:!+[a-z{_SIGN}]+)*|[.!?]+(?=\s)|\n\s*\n|\}}
 ENDS = set(".!?\n}\\")
 DISGUISED = re.compile(rf"[!{_SIGN}]?[a-z]*(?:[!{_SIGN}]{{1,6}}[a-z]+)*[!{_SIGN}]{{0,6}}")
 EDGE = "0123456789@$+|€£#*!"
-#: Years at an edge of a word, such as those of citation keys, stand for no letters.
-YEAR = re.compile(r"(?:1[5-9]|20)\d\d(?!\d)|.*(?<!\d)(?:1[5-9]|20)\d\d$|.*[a-z]{3}(?:1[5-9]|20)\d\d[a-z]$")
+#: Years at an edge of a word stand for no letters; with a letter after them they are citation keys.
+CITED, AT_EDGE = r".*[a-z]{3}(?:1[5-9]|20)\d\d[a-z]$", re.compile(r"^(?:1[5-9]|20)\d\d(?!\d)|(?<!\d)(?:1[5-9]|20)\d\d$")
+YEAR = re.compile(rf"(?:1[5-9]|20)\d\d(?!\d)|.*(?<!\d)(?:1[5-9]|20)\d\d$|{CITED}")
 RUN = re.compile(r"([a-z])\1\1")
 #: One character drawn out, which is taken as three; words with signs of more than DRAWN characters have no more of any.
 LONG_RUN, DRAWN = re.compile(r"(.)\1{3,}"), 60
@@ -128,48 +134,35 @@ class _Resolved(dict):
 
 
 class Restorer:
-    """Restores disguised words by Viterbi search under a character trigram model."""
+    """Restores disguised words by Viterbi search under a character trigram model and a word list."""
 
     def __init__(self, counts: np.ndarray, seeds: dict[str, float]) -> None:
         grams = counts.astype(float) + 0.05
-        grams[:, :, :] /= grams.sum() or 1.0
-        own = np.full((27, 27, 27), 1e-9)
-        for word in seeds:
-            codes = [0, *[ord(c) - 96 for c in word], 0]
-            for a, b, c in zip([0, *codes], codes, codes[1:], strict=False):
-                own[a, b, c] += 1.0
-        mixed = (1 - SHARE) * grams + SHARE * own / own.sum()
-        self.log = np.log(mixed / mixed.sum(axis=2, keepdims=True)).tolist()
-        self.seeds: dict[int, list[str]] = {}
+        self.log = np.log(grams / grams.sum(axis=2, keepdims=True)).tolist()
+        self.trigram, self.listed = math.log(1 - SHARE), math.log(SHARE / max(1, len(seeds)))
+        self.seeds = set(seeds)
+        self.trie: dict = {}
         for w in seeds:
-            self.seeds.setdefault(len(w), []).append(w)
-        long = {w for w in seeds if len(w) >= 4}
-        swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :]: w for w in long for k in range(len(w) - 1)}
-        self.swapped = {s: w for s, w in swaps.items() if s not in seeds}
-        self.known = _Resolved(self.resolve)
+            node = self.trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        # Stretches of letters that words of the list have where neighbours change places
+        self.twists = {t[max(0, min(k - 1, len(w) - 4)) :][:4] for w in seeds if len(w) >= 4 for k in range(len(w) - 1) if w[k] != w[k + 1] for t in (w[:k] + w[k + 1] + w[k] + w[k + 2 :],)}
+        self.known, self.apart = _Resolved(self.resolve), _Resolved(self.parted)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "apart")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
-        self.known = _Resolved(self.resolve)
-
-    def listed(self, word: str) -> list[str]:
-        """Words of the seed list that a word with digits, signs or masks may stand for."""
-        if word.isalpha() or len(word) < 3:
-            return []
-        shape = ["" if c in MASKS else LEET.get(c, c) for c in word if c in MASKS or c in LEET or c.isalpha()]
-        own = self.seeds.get(len(shape), []) if len(shape) >= 3 else []
-        if not own:
-            return []
-        if len(shape) == 3 and sum(c.isalpha() for c in word) < 2 and any(c.isdigit() or c in MASKS for c in word):
-            return []  # such as d13 or a**, which are labels and marks
-        return [w for w in own if all(not may or c in may for c, may in zip(w, shape, strict=True))]
+        self.known, self.apart = _Resolved(self.resolve), _Resolved(self.parted)
 
     def likelihood(self, word: str) -> float:
+        """The log probability of a word, by the likelier part of the model."""
         codes = [0, 0, *[ord(c) - 96 for c in word], 0]
-        return sum(self.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+        own = self.trigram + sum(self.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+        return max(own, self.listed) if word in self.seeds else own
 
     def lattice(self, word: str) -> list[list[tuple[str, int, float]]]:
         """For each place of word the arcs (characters, places taken, cost) that leave it."""
@@ -184,8 +177,12 @@ class Restorer:
                 out = [(x, 1, 0.5) for x in LEET[c]]
             elif "a" <= c <= "z":
                 out = [(c, 1, 0.0)] + ([(c, run, 0.2), (c + c, run, 0.4)] if run > 2 else [])
+                if k + 1 < len(word) and "a" <= word[k + 1] <= "z" and word[k + 1] != c:
+                    out.append((word[k + 1] + c, 2, SWAP))
             else:
                 out = [("", 1, 0.1)]
+            if c in "*#+|" and 0 < k < len(word) - 1:
+                out.append(("", 1, DROP_INSIDE))
             arcs.append(out)
         # Signs at the end may also stand for nothing, and around a word of letters those at the beginning
         core = word.strip(EDGE)
@@ -197,54 +194,90 @@ class Restorer:
             arcs[0].append(("", first, DROP))
         return arcs
 
-    def decode(self, word: str) -> str:
-        """The most likely word behind word."""
+    def decode(self, word: str, free: bool = True) -> str:
+        """The most likely word behind word; without free only words of the list, '' if none fits."""
         arcs = self.lattice(word)
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
-        best[0][(0, 0)] = (0.0, "")
-        for k, states in enumerate(best[:-1]):
-            for (a, b), (score, made) in states.items():
+        ends = []
+        if free:
+            best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
+            best[0][(0, 0)] = (self.trigram, "")
+            for k, states in enumerate(best[:-1]):
+                for (a, b), (score, made) in states.items():
+                    for text, size, cost in arcs[k]:
+                        x, y, now = a, b, score - cost
+                        for c in text:
+                            n = ord(c) - 96
+                            now += self.log[x][y][n]
+                            x, y = y, n
+                        there = best[k + size]
+                        if (x, y) not in there or there[(x, y)][0] < now:
+                            there[(x, y)] = (now, made + text)
+            ends = [(score + self.log[a][b][0], made) for (a, b), (score, made) in best[-1].items()]
+        # The same search over the word list: a state is what of its words has been spelt
+        spelt: list[dict[str, tuple[float, dict]]] = [{} for _ in range(len(word) + 1)]
+        spelt[0][""] = (self.listed, self.trie)
+        for k, known in enumerate(spelt[:-1]):
+            for made, (score, node) in known.items():
                 for text, size, cost in arcs[k]:
-                    x, y, now = a, b, score - cost
+                    at = node
                     for c in text:
-                        n = ord(c) - 96
-                        now += self.log[x][y][n]
-                        x, y = y, n
-                    there = best[k + size]
-                    if (x, y) not in there or there[(x, y)][0] < now:
-                        there[(x, y)] = (now, made + text)
-        ends = [(score + self.log[a][b][0], made) for (a, b), (score, made) in best[-1].items()]
-        return max(ends)[1]
+                        at = at.get(c)
+                        if at is None:
+                            break
+                    if at is not None:
+                        there, now = spelt[k + size], made + text
+                        if now not in there or there[now][0] < score - cost:
+                            there[now] = (score - cost, at)
+        ends += [(score, made) for made, (score, node) in spelt[-1].items() if "" in node]
+        return max(ends)[1] if ends else ""
+
+    def twisted(self, word: str) -> bool:
+        """Whether neighbours may have changed places so that a word of the list is hidden."""
+        return any(word[k : k + 4] in self.twists for k in range(len(word) - 3))
 
     def resolve(self, token: str) -> str:
         """The word that a token stands for: restored, '' if it is none, '.' where a sentence ends."""
         if token[0] in ENDS and not token.lstrip("!").isalnum():
             return "."
         if token.isalpha():
-            word = self.decode(LONG_RUN.sub(r"\1\1\1", token)) if RUN.search(token) else token
-            return self.swapped.get(word, word)
+            if RUN.search(token):
+                return self.decode(LONG_RUN.sub(r"\1\1\1", token))
+            return self.decode(token) if token not in self.seeds and self.twisted(token) else token
         if len(token) > DRAWN:
             token = LONG_RUN.sub(r"\1\1\1", token)
         core = token.strip(EDGE)
-        letters = re.sub("[*+|#!]", "", token)
-        if len(letters) > 2 and letters.isalpha() and len(token) == 2 * len(letters) - 1 and token[-1].isalpha():  # letters one by one
-            return letters
         if core and len(token) >= 3 and DISGUISED.fullmatch(token):
-            listed = self.listed(token)
-            if listed:
-                return max(listed, key=self.likelihood)
             around = token.split(core, 1)
-            if core.isalpha() and (around[0] == around[1] or core in self.swapped or core in self.seeds.get(len(core), ())):
+            if core.isalpha() and (around[0] == around[1] or core in self.seeds):
                 return self.resolve(core)
-            if sum(c.isalpha() for c in token) >= 2 and not YEAR.match(token):
+            if YEAR.match(token):
+                rest = AT_EDGE.sub("", token)
+                return self.resolve(rest) if rest and rest != token else ""
+            held = sum(c.isalpha() for c in token)
+            if held >= 2:
                 return self.decode(token)
+            if len(token) > 3 or not any(c.isdigit() or c in MASKS for c in token):  # not such as d13 or a**
+                return self.decode(token, False) or (core if core.isalpha() else "")
         return core if core.isalpha() else ""
 
+    def parted(self, letters: str) -> str:
+        """The likeliest words of letters that stood one by one."""
+        if not letters.isalpha():
+            return self.decode(letters, False)
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(-math.inf, 0)] * len(letters)
+        for end in range(1, len(letters) + 1):
+            best[end] = max((best[k][0] + self.likelihood(letters[k:end]), k) for k in range(max(0, end - PARTED), end))
+        out, end = [], len(letters)
+        while end:
+            out.append(letters[best[end][1] : end])
+            end = best[end][1]
+        return " ".join(out[::-1])
+
     def words(self, text: str) -> list[str]:
         """The words of a text as it is scored, with '.' where sentences end and '' for other signs."""
         plain = fold(text).replace("{}", "").replace("\\-", "").replace("\\/", "")
         plain = COMMAND.sub(r"\1", GROUP.sub(r"\1", plain))
-        plain = SPREAD.sub(lambda m: m[0].replace(m[1], ""), plain)
+        plain = SPREAD.sub(lambda m: self.apart[_APART.sub("", m[0])] or m[0], plain)
         return list(map(self.known.__getitem__, TOKEN.findall(plain)))
 
 
@@ -308,9 +341,19 @@ class Model:
         return [" ".join(t for t in tokens[starts[k] : ends[k]] if len(t) > 1 or t.isalpha()) for k in order]
 
 
+def _telling(word: str) -> bool:
+    """Whether a word may be a feature: initials and symbols of one letter tell nothing."""
+    return len(word) > 1 or word in ("i", "a", "u", "y")
+
+
 def _features(sentence: str) -> list[tuple[str, str | None]]:
     own = sentence.split()
-    return list(dict.fromkeys([(w, None) for w in own if len(w) > 1] + list(zip(own, own[1:], strict=False))))
+    return list(dict.fromkeys([(w, None) for w in own if len(w) > 1] + [(a, b) for a, b in zip(own, own[1:], strict=False) if _telling(a) and _telling(b)]))
+
+
+def _unfitted() -> tuple[dict, dict, float]:
+    """The weights without labels: those of the seed list."""
+    return {w: v for v, ws in SEEDS.items() for w in ws}, {}, BIAS
 
 
 def _regression(bags: list[tuple[int, list[str]]]) -> tuple[dict, dict, float]:
@@ -323,6 +366,8 @@ def _regression(bags: list[tuple[int, list[str]]]) -> tuple[dict, dict, float]:
     index = {f: n for n, f in enumerate([f for f, n in held.items() if n > 1] + [("", None)])}
     rows = [[[index[f] for f in _features(s) if f in index] or [index[("", None)]] for s in own] for _, own in bags]
     flat = [r for own in rows for r in own]
+    if not flat:
+        return _unfitted()
     sizes = np.array([len(r) for r in flat])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     column = np.concatenate([np.array(r) for r in flat])
@@ -388,7 +433,7 @@ def trigram_counts(documents: DataFrame, text: str) -> np.ndarray:
 
 
 def _evidence(labelled: DataFrame, restorer: Restorer) -> DataFrame:
-    """(a, b, bad, good) of words (b null) and pairs: the documents of each label that have them."""
+    """(word, bad, good): the documents of each label that have a word."""
     shared = labelled.sparkSession.sparkContext.broadcast(restorer)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,46 +441,39 @@ def _evidence(labelled: DataFrame, restorer: Restorer) -> DataFrame:
             out = []
             for text, bad in zip(frame["text"], frame["bad"], strict=True):
                 tokens = shared.value.words(text)
-                found = {(t, None) for t in tokens if len(t) > 1}
-                found |= {(a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a > "." and b > "."}
-                out += [(a, b, bad, 1 - bad) for a, b in found]
-            yield pd.DataFrame(out, columns=["a", "b", "bad", "good"])
+                out += [(w, bad, 1 - bad) for w in {t for t in tokens if len(t) > 1}]
+            yield pd.DataFrame(out, columns=["word", "bad", "good"])
 
-    return labelled.mapInPandas(features, "a string, b string, bad long, good long").groupBy("a", "b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return labelled.mapInPandas(features, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _first_weights(counts: list[tuple], bads: float, goods: float) -> tuple[dict, dict]:
-    """Log-odds of words and pairs, by the documents of each label, on top of the seed list."""
+def _first_weights(counts: list[tuple], bads: float, goods: float) -> dict[str, float]:
+    """Log-odds of words, by the documents of each label, on top of the seed list."""
     single = {w: v for v, ws in SEEDS.items() for w in ws}
-    double: dict[tuple[str, str], float] = {}
     prior = bads / (bads + goods) if bads + goods else 0.5
-    for a, b, bad, good in counts:
+    for word, bad, good in counts:
         odds = math.log((bad + prior) / (bads + 1)) - math.log((good + 1 - prior) / (goods + 1))
-        odds = max(-2.0, min(3.0, odds)) * min(1.0, (bad + good) / 4)
-        if b is None:
-            single[a] = single.get(a, 0.0) + odds
-        else:
-            double[(a, b)] = odds
-    return single, double
+        single[word] = single.get(word, 0.0) + max(-2.0, min(3.0, odds)) * min(1.0, (bad + good) / 4)
+    return single
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, float]:
-    """The model and the threshold fitted to labels (doc_id, toxic).
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model fitted to labels (doc_id, toxic).
 
     A document counts by the majority of its labels that aren't null; where they are equally many it
     isn't used. Of more than LABELLED documents those with the lowest hash of their id are used.
     """
     spark = documents.sparkSession
-    restorer = Restorer(trigram_counts(documents, "text"), {w: v for v, ws in SEEDS.items() if v > 0 for w in ws})
+    restorer = Restorer(trigram_counts(documents, "text"), {w: v for v, ws in SEEDS.items() for w in ws})
     votes = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("mean")).where("mean <> 0.5")
     chosen = votes.select("doc_id", (F.col("mean") > 0.5).cast("long").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("half")
     known = checkpointed(documents.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "bad", half))
     sizes = {r["bad"]: float(r["n"]) for r in known.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
-        return Model(restorer, {w: v for v, ws in SEEDS.items() for w in ws}, {}), THRESHOLD
-    counts = [tuple(r) for r in _evidence(known, restorer).where(F.col("bad") >= LEAST).orderBy(F.desc("bad"), "a", "b").limit(MODEL).collect()]
-    ranking = spark.sparkContext.broadcast(Model(restorer, *_first_weights(counts, sizes[1], sizes.get(0, 0.0))))
+        return Model(restorer, *_unfitted())
+    counts = [tuple(r) for r in _evidence(known, restorer).where(F.col("bad") >= LEAST).collect()]  # words of the sample
+    ranking = spark.sparkContext.broadcast(Model(restorer, _first_weights(counts, sizes[1], sizes.get(0, 0.0)), {}))
 
     def worst(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -444,33 +482,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model, float]:
 
     found = known.mapInPandas(worst, "half int, bad long, own array<string>").collect()  # at most LABELLED rows
     bags = [[(r["bad"], list(r["own"]) or [""]) for r in found if r["half"] == h] for h in (0, 1)]
-    if sizes[1] < ENOUGH or not all(any(b for b, _ in own) for own in bags):
-        return Model(restorer, *_regression(bags[0] + bags[1])), THRESHOLD
     kept_before: list[list[tuple[int, list[str]]]] = []
-    # Documents labelled as bad that the other half of the labels finds clearly harmless are taken as
-    # labelled wrongly, and the rest is fitted once more
+    # Documents labelled as bad that the other half of the labels finds harmless, or the other way round,
+    # are taken as labelled wrongly, and the rest is fitted once more
     for _ in range(2):
         kept: list[list[tuple[int, list[str]]]] = []
-        scored = []
         for h in (0, 1):
             trusted = bags[1 - h] if not kept_before else kept_before[1 - h]
             other = Model(restorer, *_regression(trusted))
             values = [max(other.plain(s) for s in own) for _, own in bags[h]]
-            scored += [(v, bad) for v, (bad, _) in zip(values, bags[h], strict=True)]
-            kept.append([bag for v, bag in zip(values, bags[h], strict=True) if not bag[0] or v > DOUBT])
+            kept.append([bag for v, bag in zip(values, bags[h], strict=True) if (v > DOUBT if bag[0] else v < DOUBT_GOOD)])
         if not all(any(b for b, _ in own) for own in kept):
             kept = bags
         kept_before = kept
-    model = Model(restorer, *_regression(kept_before[0] + kept_before[1]))
-    scored.sort(reverse=True)
-    hits, best, threshold = 0, 0.0, 0.0
-    for n, (value, bad) in enumerate(scored, 1):
-        hits += bad
-        below = max(0.0, scored[n][0]) if n < len(scored) else 0.0
-        f1 = 2 * hits / (n + sizes[1])
-        if f1 > best and below < value and value > 0:
-            best, threshold = f1, (value + below) / 2
-    return model, threshold
+    single, double, bias = _regression(kept_before[0] + kept_before[1])
+    return Model(restorer, single, double, bias - math.log(PROBABLE / (1 - PROBABLE)))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -480,7 +506,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     documents aren't used, and without labels the seed list alone counts; repeated labels of one
     document are votes; no documents give no rows; other columns are ignored.
     """
-    model, threshold = fit(documents, labels)
+    model = fit(documents, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,7 +518,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = documents.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(run, f"doc_id {kind}, source string, score double")
-    return scored.withColumn("flagged", F.col("score") >= threshold)
+    return scored.withColumn("flagged", F.col("score") > 0)
 
 
 def rates(scored: DataFrame) -> DataFrame:
