@@ -48,9 +48,12 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    old = c.where("c_custkey % 3 <> 0")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lower("c_mktsegment").alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    """Customers as target; as source those with orders, and as many that the target doesn't have."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    orders = table(spark, sf_dir, "orders")
+    bought = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderpriority").alias("c_mktsegment"), F.max("o_totalprice").alias("c_acctbal"))
+    others = orders.groupBy((-F.col("o_custkey")).alias("c_custkey")).agg(F.min("o_orderstatus").alias("c_mktsegment"), F.min("o_totalprice").alias("c_acctbal"))
+    new = bought.union(others)
     return D.merge_upsert(old, new, ["c_custkey"], ["c_mktsegment", "c_acctbal"])
 
 
@@ -81,11 +84,16 @@ def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.output("a")
 
 
+def _unkeyed(lookup: dict, **more: object) -> dict:
+    return {k: v for k, v in lookup.items() if k != "keys"} | more
+
+
 _SPLIT = {"id": "split", "type": "Conditional Split", "cases": {"large": "[o_totalprice] > 200000", "open": '[o_orderstatus] == "O"'}, "default": "rest"}
 QUERIES: dict[str, Query] = {
     "dataflow_source_projection": _flow([ORDERS, {"id": "d", "type": "OLE DB Destination", "table": "t", "mappings": [{"target": "Id", "source": "o_orderkey"}, {"target": "Price", "source": "o_totalprice"}, {"target": "price", "source": "o_custkey", "expression": "[o_totalprice] * 2"}]}], [("orders", "d")], "d"),
     "dataflow_lookup_customer": _pick(_flow([ORDERS, CUSTOMER], [("orders", "customer")], "customer"), "o_orderkey", "c_name"),
     "dataflow_lookup_chained": _pick(_flow([ORDERS, CUSTOMER, NATION, REGION], [("orders", "customer"), ("customer", "nation"), ("nation", "region")], "region"), "o_orderkey", "c_name", "n_name", "r_name"),
+    "dataflow_lookup_resolved_keys": _pick(_flow([ORDERS, _unkeyed(CUSTOMER, operations=["LOOKUP_JOIN:o_custkey=c_custkey"]), {"id": "rename", "type": "Derived Column", "columns": {"n_nationkey": "[c_nationkey]"}}, _unkeyed(NATION), _unkeyed(REGION), {"id": "none", "type": "Lookup", "reference": "events", "columns": {"nothing": "event_type"}}], [("orders", "customer"), ("customer", "rename"), ("rename", "nation"), ("nation", "region"), ("region", "none")], "none"), "o_orderkey", "c_name", "n_name", "r_name", "nothing"),
     "dataflow_lookup_nomatch": _pick(_flow([{"id": "s", "type": "Source", "table": "customer"}, {"id": "l", "type": "Lookup", "reference": "orders", "keys": {"c_custkey": "o_custkey"}, "no_match": "only"}], [("s", "l")], "l"), "c_custkey"),
     "dataflow_lookup_first_match": _pick(_flow([{"id": "s", "type": "Source", "table": "customer"}, {"id": "l", "type": "Lookup", "reference": "orders", "keys": {"c_custkey": "o_custkey"}, "columns": {"first_order": "o_orderkey"}}], [("s", "l")], "l"), "c_custkey", "first_order"),
     "dataflow_derived_column": _pick(_flow([{"id": "s", "type": "Source", "table": "lineitem"}, {"id": "d", "type": "Derived Column", "columns": {"net": "[l_extendedprice] * (1 - [l_discount])", "flagged": '[l_returnflag] == "R" && [l_quantity] >= 10 ? 1 : 0', "code": '[l_returnflag] + "-" + [l_linestatus]'}}, {"id": "a", "type": "Aggregate", "group": ["code", "flagged"], "aggregates": {"n": ("count", "*"), "net": ("sum", "net")}}], [("s", "d"), ("d", "a")], "a"), "code", "flagged", "n", "net"),
@@ -108,6 +116,7 @@ ORACLE: dict[str, str] = {
     "dataflow_source_projection": "SELECT o_orderkey AS \"Id\", o_totalprice * 2 AS price FROM orders",
     "dataflow_lookup_customer": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "dataflow_lookup_chained": "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
+    "dataflow_lookup_resolved_keys": "SELECT o_orderkey, c_name, n_name, r_name, CAST(NULL AS VARCHAR) AS nothing FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
     "dataflow_lookup_nomatch": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "dataflow_lookup_first_match": "SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS first_order FROM customer",
     "dataflow_derived_column": "SELECT l_returnflag || '-' || l_linestatus AS code, CASE WHEN l_returnflag = 'R' AND l_quantity >= 10 THEN 1 ELSE 0 END AS flagged, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS net FROM lineitem GROUP BY 1, 2",
@@ -118,7 +127,7 @@ ORACLE: dict[str, str] = {
     "dataflow_aggregate": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS total, avg(l_discount) AS mean, min(l_tax) AS least, max(l_extendedprice) AS most, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2",
     "dataflow_sort_dedupe": "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 ORDER BY 1",
     "dataflow_script": "SELECT l_linenumber, sum(l_quantity * 2) AS total, count(*) AS n FROM lineitem GROUP BY 1",
-    "dataflow_merge_upsert": "WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), s AS (SELECT c_custkey, lower(c_mktsegment) AS m, c_acctbal + 1 AS b FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, CASE WHEN s.c_custkey IS NULL THEN c_mktsegment ELSE m END AS c_mktsegment, CASE WHEN s.c_custkey IS NULL THEN c_acctbal ELSE b END AS c_acctbal FROM t FULL JOIN s ON s.c_custkey = t.c_custkey",
+    "dataflow_merge_upsert": "WITH s AS (SELECT o_custkey AS k, min(o_orderpriority) AS m, max(o_totalprice) AS b FROM orders GROUP BY 1 UNION ALL SELECT -o_custkey, min(o_orderstatus), min(o_totalprice) FROM orders GROUP BY 1) SELECT coalesce(k, c_custkey) AS c_custkey, CASE WHEN k IS NULL THEN c_mktsegment ELSE m END AS c_mktsegment, CASE WHEN k IS NULL THEN c_acctbal ELSE b END AS c_acctbal FROM customer FULL JOIN s ON k = c_custkey",
     "dataflow_delete_join": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')",
     "dataflow_update_from": "SELECT o_orderkey, o_custkey, CASE WHEN c_custkey IS NULL THEN o_orderstatus ELSE c_mktsegment END AS o_orderstatus FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0",
     "dq_expectations": "WITH o AS (SELECT * FROM orders) SELECT 'row_count' AS rule, '*' AS column_name, CAST(CASE WHEN count(*) >= 1 THEN 0 ELSE 1 END AS BIGINT) AS failed, count(*) >= 1 AS passed FROM o UNION ALL SELECT 'unique', 'pk_order', count(o_orderkey) - count(DISTINCT o_orderkey), count(o_orderkey) = count(DISTINCT o_orderkey) FROM o UNION ALL SELECT 'not_null', 'customer_id', count(*) FILTER (o_custkey IS NULL), count(*) FILTER (o_custkey IS NULL) = 0 FROM o UNION ALL SELECT 'in_set', 'order_status', count(*) FILTER (o_orderstatus NOT IN ('O', 'F')), count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) = 0 FROM o",

@@ -11,8 +11,10 @@ from weftline.functions import etl
 from weftline.operators import lineage as L
 from weftline.operators import narrative as N
 from weftline.operators import questions as Q
+from weftline.operators import resolve as R
 from weftline.operators import schedule as S
 from weftline.session import checkpointed, table
+from weftline.sinks import exports
 from weftline.sources import tsql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,20 +67,19 @@ def _spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, required boolean")
 
 
-def _object_edges(maps: DataFrame) -> DataFrame:
-    contains = maps.select("package_id", "task_id").distinct().select(F.lit("contains").alias("rel"), F.col("package_id").alias("src"), F.col("task_id").alias("dst"), F.lit(1).cast("long").alias("n"))
-    flows = maps.groupBy("task_id", L.label(F.col("target_schema"), F.col("target_table")).alias("dst")).agg(F.count("*").alias("n")).select(F.lit("writes"), "task_id", "dst", "n")
-    return contains.union(flows)
-
-
 def _mermaid(maps: DataFrame) -> DataFrame:
-    return maps.select(L.label(F.col("source_schema"), F.col("source_table")).alias("src"), L.label(F.col("target_schema"), F.col("target_table")).alias("dst"), etl.operation_label(F.col("operation_type")).alias("op")).where("src <> dst and src <> '' and dst <> ''").distinct()
+    """The edges of the Mermaid export, with the labels that its nodes have."""
+    line = r'^  n[0-9A-F]+\["([^"]*)"\] -->\|([^|]*)\| n[0-9A-F]+\["([^"]*)"\]$'
+    return exports.mermaid(maps).where("section = 1").select(*[F.regexp_extract("line", line, k).alias(n) for n, k in (("src", 1), ("op", 2), ("dst", 3))])
 
 
 def _openlineage(maps: DataFrame) -> DataFrame:
-    named = maps.where("target_column <> '*'")
-    name = lambda s: L.label(F.col(f"{s}_schema"), F.col(f"{s}_table"))
-    return named.groupBy("task_id", name("target").alias("output"), F.col("target_column").alias("field")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(".", name("source"), "source_column"))), ",").alias("input_fields"))
+    """The inputs of each field of each output in the events of the OpenLineage export."""
+    event = "job struct<name string>, outputs array<struct<name string, columnLineage string>>"
+    fields = "map<string, struct<inputFields: array<struct<name: string, field: string>>>>"
+    out = exports.openlineage(maps).select(F.from_json("line", event).alias("e")).select(F.col("e.job.name").alias("job"), F.explode("e.outputs").alias("o"))
+    each = out.select("job", F.col("o.name").alias("output"), F.explode(F.from_json("o.columnLineage", fields)).alias("field", "f"))
+    return each.select(F.element_at(F.split("job", r"\."), -1).alias("task_id"), "output", "field", F.array_join(F.array_sort(F.transform("f.inputFields", lambda x: F.concat_ws(".", x["name"], x["field"]))), ",").alias("input_fields"))
 
 
 def _renames(maps: DataFrame) -> DataFrame:
@@ -120,8 +121,9 @@ def _real_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events")
-    return d.select("event_id", etl.redact(F.concat(F.lit("Server=a;Password=p"), F.col("event_id").cast("string"), F.lit(";token = t;User="), F.coalesce("event_type", F.lit("")))).alias("redacted"))
+    """The whole texts of documents with a connection string after them, redacted."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", etl.redact(F.concat(F.coalesce("text", F.lit("")), F.lit(" Server=a;Password=p"), F.col("doc_id").cast("string"), F.lit(";token = t;User="), L.text("source"))).alias("redacted"))
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ QUERIES: dict[str, Query] = {
     "contract_columns": _on(L.contract),
     "contract_violations": lambda spark, sf_dir: L.contract_violations(_spec(spark), L.derived_maps(spark, sf_dir)),
     "lineage_diff": _on(_diff),
-    "object_edge_counts": _on(_object_edges),
+    "object_edge_counts": _on(R.object_edges),
     "mermaid_edges": _on(_mermaid),
     "openlineage_inputs": _on(_openlineage),
     "summary_tiles": _on(_reports),
@@ -292,13 +294,15 @@ UNION ALL SELECT t, c, 'Additive', 'new column' FROM actual WHERE t IN (SELECT t
  UNION SELECT package_id, 'mapping', lower({_LABEL} || ' -> ' || {_LABEL2} || ' [' || operation_type || ']') FROM maps),
  a AS (SELECT DISTINCT kind, key FROM keys WHERE package_id <> 'pkg_3'), b AS (SELECT DISTINCT kind, key FROM keys WHERE package_id <> 'pkg_5')
 SELECT kind, 'added' AS change, key FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT kind, 'removed', key FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
-    "object_edge_counts": f"WITH {_M} SELECT DISTINCT 'contains' AS rel, package_id AS src, task_id AS dst, CAST(1 AS BIGINT) AS n FROM maps UNION ALL SELECT 'writes', task_id, target_schema || '.' || target_table, count(*) FROM maps GROUP BY ALL",
+    "object_edge_counts": f"WITH {_M}, w AS (SELECT 'writes' AS rel, task_id AS src, target_schema || '.' || target_table AS dst, count(*) AS n FROM maps GROUP BY ALL) SELECT DISTINCT 'contains' AS rel, package_id AS src, task_id AS dst, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_out FROM maps UNION ALL SELECT *, count(*) OVER (PARTITION BY src) FROM w",
     "mermaid_edges": f"WITH {_M} SELECT DISTINCT source_schema || '.' || source_table AS src, target_schema || '.' || target_table AS dst, replace(regexp_replace(operation_type, '^SQL_PROC_', ''), '_', ' ') AS op FROM maps",
     "openlineage_inputs": f"WITH {_M} SELECT task_id, target_schema || '.' || target_table AS output, target_column AS field, string_agg(DISTINCT {_LABEL}, ',' ORDER BY {_LABEL}) AS input_fields FROM maps WHERE target_column <> '*' GROUP BY ALL",
     "summary_tiles": f"WITH {_M} SELECT 'maps' AS tile, CAST(count(*) AS BIGINT) AS n FROM maps UNION ALL SELECT 'packages', count(DISTINCT package_id) FROM maps UNION ALL SELECT 'tasks', count(DISTINCT task_id) FROM maps UNION ALL SELECT 'source_tables', count(DISTINCT source_schema || source_table) FROM maps UNION ALL SELECT 'target_tables', count(DISTINCT target_schema || target_table) FROM maps UNION ALL SELECT 'operations', count(DISTINCT operation_type) FROM maps",
     "drill_down_task": f"WITH {_M} SELECT DISTINCT {_LABEL} AS source, {_LABEL2} AS target, operation_type FROM maps WHERE task_id = 'task_3_2' ORDER BY 1, 2, 3 LIMIT 500",
     "complete_columns": f"WITH {_M} SELECT source_column AS choice FROM maps WHERE source_table = 't18' AND source_column LIKE '%c%' UNION SELECT target_column FROM maps WHERE target_table = 't18' AND target_column LIKE '%c%'",
     "package_effort": f"WITH {_M}, c AS (SELECT package_id, count(*) AS n_components FROM (SELECT DISTINCT package_id, task_id, target_table FROM maps) GROUP BY 1), d AS (SELECT *, greatest(1, CAST(floor(n_components * 1.5) AS INTEGER)) AS person_days FROM c) SELECT *, CASE WHEN person_days <= 5 THEN 'S' WHEN person_days <= 15 THEN 'M' WHEN person_days <= 40 THEN 'L' ELSE 'XL' END AS size FROM d",
+    "narratives": f"""WITH {_M}, v AS (SELECT package_id, task_id, source_table AS s, target_table AS t, CASE WHEN operation_type LIKE '%INSERT%' THEN 'loads' ELSE 'derives columns of' END AS v FROM maps)
+SELECT package_id, task_id, 'This task ' || string_agg(DISTINCT v, ' and ' ORDER BY v) || ' ' || string_agg(DISTINCT t, ', ' ORDER BY t) || ' from ' || string_agg(DISTINCT s, ', ' ORDER BY s) || ', ' || count(*) || ' column mappings.' AS narrative FROM v GROUP BY ALL""",
     "task_recommendations": f"WITH {_TASKS} SELECT task_id, ['Data Flow Task', 'Execute SQL Task', 'Execute Package Task'][k % 3 + 1] AS usual_type, ['dbt Model (SQL)', 'dbt pre/post-hook or PythonOperator', 'Airflow SubDAG or TriggerDagRunOperator'][k % 3 + 1] AS recommendation FROM timed",
     "tsql_lineage_records": """SELECT 'INSERT' AS operation_type, 'O' || o_custkey % 7 AS source_table, 'k' AS source_column, 'dw' AS target_schema, 'Fact_' || o_orderstatus AS target_table, 'k' AS target_column, 'o.k' AS source_expression, count(*) AS n FROM orders GROUP BY ALL
 UNION ALL SELECT 'INSERT', 'C', 'v', 'dw', 'Fact_' || o_orderstatus, 'v', 'c.v * 2', count(*) FROM orders GROUP BY ALL""",
@@ -319,7 +323,7 @@ FROM lists l LEFT JOIN found f ON f.source_table = l.source_table AND f.source_c
 SELECT coalesce(a.data, source_server) AS source_server, coalesce(b.data, target_server) AS target_server, count(*) AS n
 FROM column_map LEFT JOIN s a ON a.name = lower(source_server) LEFT JOIN s b ON b.name = lower(target_server) GROUP BY 1, 2""",
     "operation_labels": "SELECT operation_type, replace(replace(regexp_replace(operation_type, '^SQL_PROC_', ''), 'XML_FALLBACK', 'DATA FLOW'), '_', ' ') AS op_label, count(*) AS n FROM column_map GROUP BY 1",
-    "redacted_text": "SELECT event_id, 'Server=a;Password=***REDACTED***;token = ***REDACTED***;User=' || coalesce(event_type, '') AS redacted FROM events",
+    "redacted_text": f"SELECT doc_id, regexp_replace(coalesce(text, '') || ' Server=a;Password=p' || doc_id || ';token = t;User=' || coalesce(source, ''), '\\b({etl.SECRETS})([\\t\\n\\v\\f\\r ]*=[\\t\\n\\v\\f\\r ]*)[^;\"''\\t\\n\\v\\f\\r <>&]+', '\\1\\2***REDACTED***', 'gi') AS redacted FROM documents",
     "component_type_normalization": """WITH r AS (SELECT p_partkey, ['Microsoft.DerivedColumn', 'OLEDBSource.2', 'Lookup', '{1F-2A}', 'TxScript', '', 'SortTransform', 'Aggregate', 'FlatFile'][p_partkey % 9 + 1] AS raw, 'Part ' || p_size AS name FROM part),
  t AS (SELECT p_partkey, CASE WHEN raw = 'TxScript' THEN 'Script Component' WHEN raw = '{1F-2A}' THEN 'Third-Party: ' || name WHEN raw = '' THEN 'Component' WHEN raw LIKE '%DerivedColumn%' THEN 'Derived Column'
   WHEN raw LIKE 'OLEDBSource%' THEN 'OLE DB Source' WHEN raw = 'SortTransform' THEN 'Sort' ELSE raw END AS c FROM r)

@@ -309,21 +309,26 @@ def contract_violations(spec: DataFrame, maps: DataFrame) -> DataFrame:
     return gone.union(lost).union(more)
 
 
-def graph_keys(maps: DataFrame) -> DataFrame:
-    """(kind, key) of the packages, tasks and maps of a graph, for comparing two of them."""
+def graph_keys(maps: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(kind, key) of the packages, tasks, components and maps of a graph, for comparing two of them.
+
+    components has package_id, task_id, name and type.
+    """
     source = label(text("source_schema"), text("source_table"), text("source_column"))
     target = label(text("target_schema"), text("target_table"), text("target_column"))
-    return (
+    keys = (
         maps.select(F.lit("package").alias("kind"), F.lower("package_id").alias("key"))
         .union(maps.select(F.lit("task"), F.lower(F.concat_ws("/", "package_id", "task_id"))))
         .union(maps.select(F.lit("mapping"), F.lower(F.concat(source, F.lit(" -> "), target, F.lit(" ["), text("operation_type"), F.lit("]")))))
-        .distinct()
     )
+    if components is not None:
+        keys = keys.union(components.select(F.lit("component"), F.lower(F.concat(F.concat_ws("/", "package_id", "task_id", "name"), F.lit(" ["), text("type"), F.lit("]")))))
+    return keys.distinct()
 
 
-def graph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def graph_diff(old: DataFrame, new: DataFrame, old_components: DataFrame | None = None, new_components: DataFrame | None = None) -> DataFrame:
     """(kind, change, key): keys only in new are added, keys only in old removed. One shuffle."""
-    sides = graph_keys(old).withColumn("side", F.lit(1)).union(graph_keys(new).withColumn("side", F.lit(2)))
+    sides = graph_keys(old, old_components).withColumn("side", F.lit(1)).union(graph_keys(new, new_components).withColumn("side", F.lit(2)))
     return sides.groupBy("kind", "key").agg(F.sum("side").alias("side")).where("side < 3").select("kind", F.when(F.col("side") == 2, "added").otherwise("removed").alias("change"), "key")
 
 

@@ -23,16 +23,13 @@ def verb(operation: Column) -> Column:
 
 
 def task_narratives(maps: DataFrame, glossary: dict[str, str] | None = None) -> DataFrame:
-    """(package_id, task_id, narrative): one sentence a task, tables in business terms.
-
-    At most the first five tables of each side are named, in order, and the rest counted.
-    """
+    """(package_id, task_id, narrative): one sentence a task, with all its tables in business terms, in order."""
     terms = glossary or etl.GLOSSARY
     name = lambda s: etl.translate(label(text(f"{s}_schema"), text(f"{s}_table")), terms)
     sides = maps.groupBy("package_id", "task_id", name("source").alias("s"), name("target").alias("t"), verb(text("operation_type")).alias("v")).agg(F.count("*").alias("n"))
     listed = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
     grouped = sides.groupBy("package_id", "task_id").agg(listed("s").alias("s"), listed("t").alias("t"), F.array_sort(F.collect_set("v")).alias("v"), F.sum("n").alias("n"))
-    shown = lambda c: F.concat(F.array_join(F.slice(c, 1, 5), ", "), F.when(F.size(c) > 5, F.concat(F.lit(" and "), (F.size(c) - 5).cast("string"), F.lit(" more"))).otherwise(""))
+    shown = lambda c: F.array_join(c, ", ")
     said = F.concat(F.lit("This task "), F.array_join("v", " and "), F.lit(" "), shown("t"), F.when(F.size("s") > 0, F.concat(F.lit(" from "), shown("s"))).otherwise(""), F.lit(", "), F.col("n").cast("string"), F.lit(" column mappings."))
     return grouped.select("package_id", "task_id", said.alias("narrative"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import Compiler
+from weftline.operators.resolve import lookup_keys
 
 Tables = Callable[[str], DataFrame]
 # Aggregate operations of the data flow.
@@ -159,6 +160,12 @@ class Flow:
             self.into[path[1]].append((path[0], path[2] if len(path) > 2 else ""))
         self.tables, self.variables, self.parity = tables, variables, parity
         self.made: dict[str, DataFrame | dict[str, DataFrame]] = {}
+        self.warnings: list[str] = []
+
+    def _keys(self, c: dict[str, Any], rows: DataFrame, reference: DataFrame) -> dict[str, str]:
+        """The join keys of a lookup that names none, by its maps' operations and both sides' columns."""
+        earlier = {n: own["id"] for own in self.components.values() if "lookup" in own["type"].lower() and own["id"] != c["id"] for n in own.get("columns", {})}
+        return lookup_keys(rows.columns, reference.columns, c.get("operations"), earlier)[0]
 
     def output(self, component: str, name: str = "", trail: tuple[str, ...] = ()) -> DataFrame:
         """The rows that leave a component, by the name of its output where it has several."""
@@ -182,7 +189,14 @@ class Flow:
             raise FlowError(f"{c['id']} has no input")
         rows = inputs[0]
         if "lookup" in kind:
-            return lookup(rows, self.tables(c["reference"]), c.get("keys", {}), c.get("columns", {}), c.get("no_match", "null"))
+            reference = self.tables(c["reference"])
+            keys = c.get("keys") or self._keys(c, rows, reference)
+            if keys:
+                return lookup(rows, reference, keys, c.get("columns", {}), c.get("no_match", "null"))
+            self.warnings.append(f"lookup {c['id']}: no join key found, nothing matches")
+            kept = [n for n in rows.columns if n not in c.get("columns", {})]
+            empty = rows.select(*kept, *[F.lit(None).cast(reference.schema[r].dataType).alias(n) for n, r in c.get("columns", {}).items()])
+            return empty.where("false") if c.get("no_match") == "drop" else empty
         if "derived" in kind:
             return derived(rows, c["columns"], self.variables, self.parity)
         if "conversion" in kind:

@@ -109,6 +109,23 @@ WITH counted AS (
 SELECT id_anggota, strftime(effective_date, '%Y-%m-%d') AS valid_from,
   coalesce(strftime(ends, '%Y-%m-%d'), '9999-12-31') AS valid_to
 FROM versions WHERE NOT gone""",
+    "p2_ledger": """
+WITH cells AS (
+  SELECT id_anggota AS e, effective_date AS d, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS k,
+    arg_max({'removed': coalesce(row_action = 'D', false), 'nama': nama_anggota, 'email': email, 'active': is_active}, feed_id) AS s
+  FROM anggota_feed WHERE id_anggota IS NOT NULL AND effective_date IS NOT NULL GROUP BY ALL
+), told AS (SELECT *, row_number() OVER w AS n, lag(s) OVER w AS before FROM cells WINDOW w AS (PARTITION BY e, d ORDER BY k)),
+states AS (SELECT e, d, s, k, lead(k) OVER (PARTITION BY e, d ORDER BY k) AS until FROM told WHERE n = 1 OR s IS DISTINCT FROM before),
+firsts AS (SELECT e, d, min(k) AS k FROM cells GROUP BY ALL),
+times AS (SELECT e, d, k AS t FROM firsts UNION SELECT a.e, a.d, b.k FROM firsts a JOIN firsts b ON b.e = a.e AND b.d > a.d AND b.k > a.k),
+ends AS (SELECT t.e, t.d, t.t, min(b.d) AS ending FROM times t LEFT JOIN firsts b ON b.e = t.e AND b.d > t.d AND b.k <= t.t GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER w AS n, lag(ending) OVER w AS before FROM ends WINDOW w AS (PARTITION BY e, d ORDER BY t)),
+spans AS (SELECT e, d, ending, t, lead(t) OVER (PARTITION BY e, d ORDER BY t) AS until FROM turns WHERE n = 1 OR ending IS DISTINCT FROM before)
+SELECT s.e AS id_anggota, s.s.nama AS nama_anggota, s.s.email AS email, s.s.active AS is_active, s.s.removed AS removed,
+  strftime(s.d, '%Y-%m-%d') AS valid_from, strftime(p.ending, '%Y-%m-%d') AS valid_to,
+  strftime(greatest(s.k, p.t), '%Y-%m-%d %H:%M:%S') AS recorded_from, strftime(least(s.until, p.until), '%Y-%m-%d %H:%M:%S') AS recorded_to
+FROM states s JOIN spans p ON p.e = s.e AND p.d = s.d
+WHERE coalesce(greatest(s.k, p.t) < least(s.until, p.until), true)""",
     "p3_found": f"""
 WITH RECURSIVE {_LINKS}, reach(top, node) AS (
   SELECT parent, child FROM links UNION SELECT r.top, l.child FROM reach r JOIN links l ON l.parent = r.node
