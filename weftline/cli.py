@@ -1,23 +1,28 @@
-"""Command line: python -m weftline.cli scan | labels | trace | diff | risk | whatif | ask."""
+"""Command line: python -m weftline.cli scan | convert | labels | trace | diff | risk | whatif | ask."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import lineage as L
 from weftline.operators import questions as Q
+from weftline.plans import convert
 from weftline.session import local_session
-from weftline.sinks import exports
+from weftline.sinks import exports, reports
+from weftline.sources.loads import load_graph, load_settings
 from weftline.sources.packages import column_maps, read_packages
 
 
 def _maps(spark: SparkSession, path: str) -> DataFrame:
-    """Maps of a folder of packages, or a Parquet table of maps."""
+    """Maps of a folder of packages, of a saved graph, or a Parquet table of maps."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
+    if path.endswith(".json"):
+        return load_graph(spark, path)["columnMappings"]
     return column_maps(read_packages(spark, path))
 
 
@@ -34,6 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *more: [sub.add_parser(name)] and [sub.choices[name].add_argument(m) for m in ("maps", *more)]
     add("scan", "out")
+    add("convert", "target", "out")
+    sub.choices["convert"].add_argument("--config")
     add("labels", "term")
     add("diff", "new")
     add("risk")
@@ -49,11 +56,20 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return 2 if e.code else 0
     spark = SparkSession.getActiveSession() or local_session()
+    if a.command == "convert":
+        if a.target not in convert.TARGETS:
+            return 2
+        made = convert.convert(read_packages(spark, a.maps), a.target)
+        settings = load_settings(a.config)["connectionManagers"]
+        made[".env"], made[".env.example"] = convert.env_pair(settings)
+        names = reports.workspace(made, a.out, [str(f) for f in Path(a.maps).rglob("*.dtsx")])
+        print("\n".join(names))
+        return 0 if len(made) > 3 else 1
     maps = _maps(spark, a.maps)
     if a.command == "scan":
         report = L.column_lineage_report(maps)
         maps.write.mode("overwrite").parquet(f"{a.out}/column_maps.parquet")
-        for name, lines in (("lineage.cypher", exports.cypher(maps)), ("lineage.mmd", exports.mermaid(maps)), ("openlineage.jsonl", exports.openlineage(maps)), ("lineage.csv", exports.lineage_csv(report)), ("report.md", exports.markdown("Lineage", {"Column mappings": report}))):
+        for name, lines in (("lineage.cypher", exports.cypher(maps)), ("lineage.mmd", exports.mermaid(maps)), ("openlineage.jsonl", exports.openlineage(maps)), ("lineage.csv", reports.lineage_export(maps)), ("lineage.json", reports.graph_json({"columnMappings": maps})), ("risk.md", reports.risk_markdown(L.risk_scores(maps))), ("report.md", exports.markdown("Lineage", {"Column mappings": report}))):
             exports.write_lines(lines, f"{a.out}/{name}")
         return 0
     if a.command == "labels":
@@ -61,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "diff":
         found = L.graph_diff(maps, _maps(spark, a.new)).orderBy("kind", "change", "key")
     elif a.command == "risk":
-        found = L.risk_scores(maps).orderBy("score", ascending=False)
+        found = L.risk_scores(maps).orderBy(L.F.desc("score"), "table_name")
     elif a.command == "ask":
         found = Q.answer(maps, a.question)
     elif a.command == "trace":
