@@ -102,17 +102,51 @@ def copies(records: DataFrame) -> DataFrame:
     return found.join(F.broadcast(moved), ["kind", "head"], "left").select("kind", F.coalesce("first", "head").alias("head"), "id")
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, head, n, text) of the runs of a sorted partition; text is null but for the first and last run."""
+    names = ["kind", "head", "n", "text"]
+    run: tuple | None = None
+    fresh = True  # the first run isn't closed yet
+    whole = lambda kind, text, head, n: pa.RecordBatch.from_arrays([pa.array([kind], pa.string()), pa.array([head], pa.int64()), pa.array([n], pa.int64()), pa.array([text], pa.string())], names=names)
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        kinds, texts = b.column(0).cast(pa.string()), b.column(1).cast(pa.string())
+        ids = b.column(2).to_numpy(zero_copy_only=False)
+        begins = np.ones(n, bool)
+        begins[1:] = pc.or_(pc.not_equal(texts.slice(1), texts.slice(0, n - 1)), pc.not_equal(kinds.slice(1), kinds.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+        begins[0] = run is None or texts[0].as_py() != run[1] or kinds[0].as_py() != run[0]
+        starts = np.flatnonzero(begins)
+        if run is not None:
+            run = (*run[:3], run[3] + int(starts[0] if len(starts) else n))
+            if not len(starts):
+                continue
+            yield whole(*run) if fresh else whole(run[0], None, run[2], run[3])
+            fresh = False
+        closed, counts = starts[:-1], np.diff(starts)
+        if fresh and len(closed):
+            yield whole(kinds[int(closed[0])].as_py(), texts[int(closed[0])].as_py(), int(ids[closed[0]]), int(counts[0]))
+            closed, counts, fresh = closed[1:], counts[1:], False
+        yield pa.RecordBatch.from_arrays([kinds.take(pa.array(closed)), pa.array(ids[closed]), pa.array(counts), pa.nulls(len(closed), pa.string())], names=names)
+        last = int(starts[-1])
+        run = (kinds[last].as_py(), texts[last].as_py(), int(ids[last]), n - last)
+    if run is not None:
+        yield whole(*run)
+
+
 def groups(records: DataFrame) -> DataFrame:
     """(kind, head, n_copies): the representative of each group of equal records and its size.
 
-    Groups of one row are included. Copies are counted before the shuffle, so a hot group sends one
-    row for each task.
+    Groups of one row are included. The scan knows the length of each run, so only the first and last
+    runs of partitions, two rows each, are grouped once more. Cases: as in copies.
     """
-    usable = records.where("kind is not null and text is not null and id is not null").select("kind", F.col("id").cast("long").alias("id"))
-    found = copies(records)
-    sizes = found.groupBy("kind", "head").agg(F.count("*").alias("more"))
-    firsts = usable.join(found.select("kind", "id"), ["kind", "id"], "left_anti")
-    return firsts.withColumnRenamed("id", "head").join(sizes, ["kind", "head"], "left").select("kind", "head", (F.coalesce("more", F.lit(0)) + 1).alias("n_copies"))
+    usable = records.where("kind is not null and text is not null and id is not null").select("kind", "text", F.col("id").cast("long").alias("id"))
+    scanned = checkpointed(
+        usable.repartitionByRange("text", "kind", "id").sortWithinPartitions("text", "kind", "id").mapInArrow(_sizes, "kind string, head long, n long, text string")
+    )
+    joined = scanned.where("text is not null").groupBy("kind", "text").agg(F.min("head").alias("head"), F.sum("n").alias("n_copies"))
+    return scanned.where("text is null").select("kind", "head", F.col("n").alias("n_copies")).union(joined.select("kind", "head", "n_copies"))
 
 
 def payload_field(payload: Column, name: str) -> Column:

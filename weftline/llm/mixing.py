@@ -6,8 +6,9 @@ on to its shards in the same way, in proportion to their tokens, which gives eac
 quota. Within a shard the documents stand in seeded order; the quota is met by whole passes over the
 shard and the leading blocks of one more pass.
 
-What reaches the driver is one row for each target and one for each shard, at most MAX_SHARDS a
-source. A source with a third of all documents is split over its shards; the windows that order
+What reaches the driver is one row for each target, MAX_TARGETS at most, and one for each shard, that is
+for each SHARD_TOKENS tokens: about a million rows for 20 trillion tokens. The table of quotas is left to
+Spark to broadcast by its size. A source with a third of all documents is split over its shards; the windows that order
 documents run within one shard.
 """
 
@@ -22,9 +23,8 @@ from weftline.session import checkpointed
 
 #: Blocks that the total is cut into: shares come out to within about one of this many parts.
 BLOCKS = 100_000
-#: Tokens of a shard, as long as a source has no more than MAX_SHARDS.
-SHARD_TOKENS = 20_000_000
-MAX_SHARDS = 2_000
+#: Tokens of a shard, and the blocks that one is cut into at least.
+SHARD_TOKENS, SHARD_BLOCKS = 20_000_000, 64
 #: The most rows that the table of targets may have.
 MAX_TARGETS = 10_000
 
@@ -82,13 +82,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     whole = sum(goal[s][0] for s in able)
     most = {s: goal[s][2] * held[s][1] for s in able}
     total = total_tokens or (int(min(most[s] * whole / goal[s][0] for s in able)) if able else 0)
-    block = max(1, total // BLOCKS)
+    block = max(1, min(total // BLOCKS, SHARD_TOKENS // SHARD_BLOCKS))
     counts = sainte_lague([goal[s][0] for s in able], total // block, [most[s] // block for s in able]) if able else []
-    shards = {s: max(1, min(MAX_SHARDS, -(-held[s][1] // SHARD_TOKENS))) for s in able}
-    number = F.create_map(*[x for s in able for x in (F.lit(s), F.lit(shards[s]))]) if able else None
-    placed = sized.where(F.col("source").isin(able)).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.element_at(number, F.col("source")) if able else F.lit(1)).cast("int")
-    )
+    shards = {s: max(1, -(-held[s][1] // SHARD_TOKENS)) for s in able}
+    split = spark.createDataFrame([(s, shards[s]) for s in able], "source string, n_shards int")  # MAX_TARGETS rows at most
+    placed = sized.join(F.broadcast(split), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards")).cast("int")).drop("n_shards")
     quotas = []
     sizes: dict[str, list[tuple[int, int]]] = {s: [] for s in able}
     for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():
@@ -101,7 +99,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     passes = F.expr("quota div shard_tokens")
     mixed = (
-        placed.join(F.broadcast(quota), ["source", "shard"])
+        placed.join(quota, ["source", "shard"])
         .withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
         .withColumn("copies", passes + (F.col("before") + F.col("n_tokens") / 2 <= F.col("quota") - passes * F.col("shard_tokens")).cast("long"))
         .where("copies > 0")

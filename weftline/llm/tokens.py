@@ -13,18 +13,20 @@ changes the time and not the ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the vocabularies lie; the WEFTLINE_TOKENIZERS setting wins.
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
@@ -69,9 +71,8 @@ class _Known(dict):
 class Encoder:
     """Encodes texts with the vocabulary of a tokenizer file (vocabulary and ordered merges)."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: str) -> None:
+        model = json.loads(vocabulary)["model"]
         byte = _bytes_of()
         special = {"<|endoftext|>", "<|startoftext|>"}
         ids = {word: n for word, n in model["vocab"].items() if word not in special}
@@ -198,7 +199,11 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file, made once in each worker."""
-    return Encoder(path)
+    return Encoder(Path(path).read_text(encoding="utf-8"))
+
+
+#: Encoders of this process by the digest of their vocabulary.
+_SHIPPED: dict[str, Encoder] = {}
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -213,9 +218,13 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _over(path: str, count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _over(spark: SparkSession, path: str, count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes batches; the driver reads the vocabulary, a file of fixed size, and sends it to the workers."""
+    content = Path(path).read_text(encoding="utf-8")
+    digest, shared = hashlib.sha256(content.encode()).hexdigest(), spark.sparkContext.broadcast(content)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = _SHIPPED.get(digest) or _SHIPPED.setdefault(digest, Encoder(shared.value))
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             kept = b.select(range(b.num_columns - 1))
@@ -237,11 +246,11 @@ def encode(documents: DataFrame, keys: list[str], text: str, vocabulary: str = "
     """
     kept = documents.select(*keys, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_over(f"{folder}/{vocabulary}.json", False), f"{fields}, ids array<int>")
+    return kept.mapInArrow(_over(documents.sparkSession, f"{folder}/{vocabulary}.json", False), f"{fields}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keys: list[str], text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """keys and n_tokens, the length of the list that encode() would give."""
     kept = documents.select(*keys, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_over(f"{folder}/{vocabulary}.json", True), f"{fields}, ids long").withColumnRenamed("ids", "n_tokens")
+    return kept.mapInArrow(_over(documents.sparkSession, f"{folder}/{vocabulary}.json", True), f"{fields}, ids long").withColumnRenamed("ids", "n_tokens")
