@@ -66,12 +66,16 @@ def is_third_party(kind: Column, name: Column) -> Column:
     return ~is_script(kind, name) & (_has(F.concat_ws(" ", kind, name), *VENDORS) | foreign)
 
 
+# The usual names of component types, by what their class names hold.
+USUAL_TYPES = [("derivedcolumn", "Derived Column"), ("oledbsource", "OLE DB Source"), ("oledbdestination", "OLE DB Destination"), ("lookup", "Lookup"), ("aggregate", "Aggregate"), ("sort", "Sort")]
+
+
 def component_type(kind: Column, name: Column) -> Column:
     """The usual name of a component's type."""
     out = F.when(is_script(kind, name), "Script Component")
     out = out.when(is_third_party(kind, name), F.concat(F.lit("Third-Party: "), F.when(F.trim(F.coalesce(name, F.lit(""))) != "", name).otherwise("Unknown")))
     out = out.when(F.trim(F.coalesce(kind, F.lit(""))) == "", "Component")
-    for word, usual in (("derivedcolumn", "Derived Column"), ("oledbsource", "OLE DB Source"), ("oledbdestination", "OLE DB Destination"), ("lookup", "Lookup"), ("aggregate", "Aggregate"), ("sort", "Sort")):
+    for word, usual in USUAL_TYPES:
         out = out.when(_has(kind, word), usual)
     return out.otherwise(kind)
 

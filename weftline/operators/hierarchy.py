@@ -37,7 +37,7 @@ from weftline.functions.text import name_key
 from weftline.session import checkpointed
 
 #: Rows that one local forest holds at most, apart from the spread of hashing.
-LOCAL = 100_000
+LOCAL = 200_000
 #: Nodes joined by broadcast at most in a level, and the part of a task's rows that makes one of them.
 HOT, HOT_SHARE, HOT_LEAST = 1_000, 0.01, 500
 
