@@ -9,8 +9,9 @@ from weftline.functions import sqltext
 from weftline.operators import lineage as L
 from weftline.operators import resolve as R
 from weftline.plans import convert as C
+from weftline.plans import scan as S
 from weftline.sinks import exports, reports
-from weftline.sources import loads, packages
+from weftline.sources import connections, loads, packages
 
 LOOKUP = """<component refId="Package\\Seq\\Flow\\Lkp" name="Lkp" componentClassID="Microsoft.Lookup"><properties><property name="SqlCommand">dbo.Names</property></properties><inputs><input refId="Lkp.In"><inputColumns><inputColumn lineageId="L1" cachedName="Id"><properties><property name="JoinToReferenceColumn">NameId</property></properties></inputColumn></inputColumns></input></inputs><outputs><output refId="Lkp.Out"><outputColumns><outputColumn lineageId="L3" name="Label"/></outputColumns></output></outputs></component>"""
 
@@ -49,6 +50,20 @@ def test_convert_to_all_targets(scanned, tmp_path):
     assert "DW_SERVER=s" in real and "secret" not in real + example
 
 
+def test_scan_with_enrichment(spark, scanned):
+    folder, rows = scanned
+    bodies = spark.createDataFrame([("dbo", "load_it", "INSERT INTO dw.X (q) SELECT a FROM stg.Y")], "schema_name string, name string, body string")
+    more = rows.union(rows.where("kind = 'component'").limit(1).select("kind", "package_id", L.F.lit("c9").alias("id"), "name", "type", "parent_id", L.F.create_map(L.F.lit("sql"), L.F.lit("EXEC dbo.load_it"), L.F.lit("connection"), L.F.lit("{C}"))))
+    maps = {(m["operation_type"], m["source_table"], m["target_table"], m["target_database"]) for m in S.enriched_maps(more, bodies).collect()}
+    assert ("SQL_PROC_INSERT", "Y", "X", "dw") in maps and any(m[:2] == ("LOOKUP_REF", "Names") for m in maps)
+    assert S.scan(spark, str(folder)).count() == packages.column_maps(rows).count() + 1
+
+
+def test_start_package_and_server(scanned):
+    assert packages.start_packages(["Load.dtsx", "a/Other.dtsx"], "C:\\etl\\LOAD.dtsx") == ["Load.dtsx"] and packages.start_packages(["a/Other.dtsx"], "other") == ["a/Other.dtsx"]
+    assert connections.reachable("Database=x") == (False, "no server") and connections.reachable("Server=127.0.0.1,1", 0.2)[0] is False
+
+
 def test_lookup_keys():
     keys = lambda a, b, **k: R.lookup_keys(a, b, **k)
     assert keys(["a", "k"], ["x", "k2"], operations=["LOOKUP_JOIN:A=X"]) == ({"a": "x"}, "metadata")

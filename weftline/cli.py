@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import lineage as L
 from weftline.operators import questions as Q
-from weftline.plans import convert
+from weftline.plans import convert, scan
 from weftline.session import local_session
 from weftline.sinks import exports, reports
 from weftline.sources.loads import load_graph, load_settings
-from weftline.sources.packages import column_maps, read_packages
+from weftline.sources.packages import read_packages
 
 
 def _maps(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _maps(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if path.endswith(".json"):
         return load_graph(spark, path)["columnMappings"]
-    return column_maps(read_packages(spark, path))
+    return scan.scan(spark, path)
 
 
 def _show(rows: DataFrame) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import socket
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
@@ -51,6 +52,23 @@ def normalized(connection: str) -> str:
     return ";".join([f"Data Source={server}", f"Initial Catalog={database}", *[f"{k}={v}" for k, v in rest.items()], "TrustServerCertificate=True"])
 
 
+def reachable(connection: str, timeout: float = 3.0) -> tuple[bool, str]:
+    """Whether a server answers at the address of a connection string, and what was tried or went wrong.
+
+    No login is made and nothing is sent. Without a server nothing is tried.
+    """
+    server = server_and_database(connection)[0].split("\\")[0]
+    host, _, port = server.removeprefix("tcp:").partition(",")
+    if not host.strip():
+        return False, "no server"
+    address = (host.strip() if host.strip() != "." else "localhost", int(port) if port.strip().isdigit() else 1433)
+    try:
+        with socket.create_connection(address, timeout):
+            return True, f"{address[0]},{address[1]}"
+    except OSError as e:
+        return False, f"{address[0]},{address[1]}: {e}"
+
+
 class Connections:
     """Connection strings by name and id; connection files go before those inside packages."""
 

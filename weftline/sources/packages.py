@@ -216,11 +216,15 @@ def project_packages(path: str) -> list[str]:
 
 
 def start_packages(names: list[str], start: str) -> list[str]:
-    """The packages to begin with: all for 'all' or '*', else the one named, with or without suffix."""
+    """The packages to begin with: all for 'all' or '*', else the one named, with or without suffix.
+
+    A name may come with a path; where no package has the whole text, its last part counts.
+    """
     if start.lower() in ("all", "*"):
         return names
     wanted = start.lower().removesuffix(".dtsx")
-    found = [n for n in names if n.lower().removesuffix(".dtsx") == wanted]
+    bare = re.split(r"[/\\]", wanted)[-1]
+    found = [n for n in names if n.lower().removesuffix(".dtsx") == wanted] or [n for n in names if re.split(r"[/\\]", n.lower().removesuffix(".dtsx"))[-1] == bare]
     if not found:
         raise ValueError(f"no package {start}")
     return found
