@@ -64,6 +64,17 @@ def test_start_package_and_server(scanned):
     assert connections.reachable("Database=x") == (False, "no server") and connections.reachable("Server=127.0.0.1,1", 0.2)[0] is False
 
 
+def test_cypher_of_a_whole_graph(spark):
+    schema = ", ".join(f"{c} string" for c in L.MAP)
+    maps = spark.createDataFrame([("p", "t1", "s", "A", "x", "s", "B", "y", "INSERT")], schema)
+    parts = spark.createDataFrame([("c1", "t1", "it's", "Lookup"), ("c2", "t1", "n", "Sort")], "component_id string, task_id string, name string, type string")
+    order, flows = spark.createDataFrame([("t1", "t2", "Success")], "src string, dst string, value string"), spark.createDataFrame([("c1", "c2")], "src string, dst string")
+    lines = [r["line"] for r in exports.cypher(maps, parts, order, flows).collect()]
+    assert "MATCH (a:Task {id: 't1'}), (b:Task {id: 't2'}) MERGE (a)-[:PRECEDES {on: 'Success'}]->(b);" in lines
+    assert "MATCH (a:Component {id: 'c1'}), (b:Component {id: 'c2'}) MERGE (a)-[:FLOWS_TO]->(b);" in lines
+    assert any("name: 'it\\'s'" in x and "BELONGS_TO" in x for x in lines) and len(lines) == 3 + 1 + 1 + 1 + 2 + 1 + 1
+
+
 def test_lookup_keys():
     keys = lambda a, b, **k: R.lookup_keys(a, b, **k)
     assert keys(["a", "k"], ["x", "k2"], operations=["LOOKUP_JOIN:A=X"]) == ({"a": "x"}, "metadata")

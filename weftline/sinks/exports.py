@@ -50,14 +50,28 @@ def names(maps: DataFrame, side: str, column: bool = True) -> Column:
     return label(table, text(f"{side}_column")) if column else table
 
 
-def cypher(maps: DataFrame) -> DataFrame:
-    """Constraints, packages, tasks and mapped columns as Cypher statements."""
+def cypher(maps: DataFrame, components: DataFrame | None = None, executions: DataFrame | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """Constraints, packages, tasks and mapped columns as Cypher statements.
+
+    components (component_id, task_id, name, type) adds nodes that belong to their tasks, executions
+    (src, dst, value) the order of tasks, flows (src, dst) the paths between components.
+    """
     packages = maps.select("package_id").distinct().select(F.format_string("MERGE (:Package {id: '%s'});", cypher_text(F.col("package_id"))).alias("line"))
     tasks = maps.select("package_id", "task_id").distinct().select(F.format_string("MERGE (t:Task {id: '%s'}) WITH t MATCH (p:Package {id: '%s'}) MERGE (t)-[:BELONGS_TO]->(p);", cypher_text(F.col("task_id")), cypher_text(F.col("package_id"))).alias("line"))
     edges = maps.select(names(maps, "source").alias("s"), names(maps, "target").alias("t"), "operation_type").distinct()
     mapped = edges.select(F.format_string("MERGE (a:Column {name: '%s'}) MERGE (b:Column {name: '%s'}) CREATE (a)-[:MAPS_TO {operation: '%s'}]->(b);", cypher_text(F.col("s")), cypher_text(F.col("t")), cypher_text(F.col("operation_type"))).alias("line"))
     heads = [f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{kind}) REQUIRE n.{key} IS UNIQUE;" for kind, key in (("Package", "id"), ("Task", "id"), ("Column", "name"))]
-    return _lines([_one(maps, *heads), packages, tasks, mapped])
+    parts = [_one(maps, *heads), packages, tasks, mapped]
+    arrow = "MATCH (a:{0} {{id: '%s'}}), (b:{0} {{id: '%s'}}) MERGE (a)-[:{1}]->(b);"
+    if components is not None:
+        made = "MERGE (c:Component {id: '%s', name: '%s', type: '%s'}) WITH c MATCH (t:Task {id: '%s'}) MERGE (c)-[:BELONGS_TO]->(t);"
+        parts.append(components.select(F.format_string(made, *[cypher_text(F.col(c)) for c in ("component_id", "name", "type", "task_id")]).alias("line")).distinct())
+    if executions is not None:
+        precedes = arrow.format("Task", "PRECEDES {{on: '%s'}}").replace("{{", "{").replace("}}", "}")
+        parts.append(executions.select(F.format_string(precedes, *[cypher_text(F.col(c)) for c in ("src", "dst", "value")]).alias("line")).distinct())
+    if flows is not None:
+        parts.append(flows.select(F.format_string(arrow.format("Component", "FLOWS_TO"), *[cypher_text(F.col(c)) for c in ("src", "dst")]).alias("line")).distinct())
+    return _lines(parts)
 
 
 def mermaid(maps: DataFrame) -> DataFrame:
