@@ -106,3 +106,23 @@ def test_letters_one_by_one_are_parted():
 
 def test_initials_tell_nothing():
     assert A._features("n smith and i agree") == [("smith", None), ("and", None), ("agree", None), ("smith", "and"), ("and", "i"), ("i", "agree")]
+
+
+def test_words_count_once_in_a_sentence():
+    model = A.Model(RESTORER, {"and": 1.0, "moron": 3.0}, {("and", "also"): 0.5}, -2.0)
+    for text, value in (("ann and bob and carl and dora and also eve and also fred", -0.5), ("moron moron and more. and", 2.0), ("ann and bob. and", -1.0)):
+        assert model.sentences(text)[2].max() == value
+    assert model.plain("ann and bob and carl and dora and also eve and also fred") == -0.5
+
+
+def test_fit_sees_its_own_worst_sentences(spark, monkeypatch):
+    """A sentence that the weights find worst in a document labelled as good is a harmless one of the last fit."""
+    pick = random.Random(4)
+    thing = lambda: "".join(pick.choice(["ka", "lu", "mi", "ro", "ste", "ban"]) for _ in range(3))
+    docs = [(k, " ".join(f"The {thing()} bounds {thing()} and {thing()}." for _ in range(40)) + (" You are a stupid moron." if k % 5 == 0 else "")) for k in range(200)]
+    fitted, own = [], A._regression
+    monkeypatch.setattr(A, "_regression", lambda bags: (fitted.append(bags), own(bags))[1])
+    made = A.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in docs], "doc_id long, toxic int"))
+    first = A.Model(made.restorer, *own(fitted[4]))
+    seen = {s for bad, sentences in fitted[-1] for s in sentences if not bad}
+    assert all(set(first.worst(text, A.WORST)) <= seen for k, text in docs if k % 5)
